@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import minhash_dedup
+from tessera.llm import langid, minhash_dedup, token_store
 
-QUERIES = {"op2_minhash_near_dedup": minhash_dedup.query}
+QUERIES = {
+    "op2_minhash_near_dedup": minhash_dedup.query,
+    "op8_token_store": token_store.query,
+    "op10_language_id": langid.query,
+}
 ORACLES: dict[str, str] = {}

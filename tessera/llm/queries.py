@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import langid, minhash_dedup, token_store
+import corpus_pipeline
+from tessera.llm import decontaminate, langid, minhash_dedup, mixing, token_store
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_minhash_near_dedup": minhash_dedup.query,
+    "op5_mixing": mixing.query,
+    "op6_decontamination": decontaminate.query,
     "op8_token_store": token_store.query,
     "op10_language_id": langid.query,
 }

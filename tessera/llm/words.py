@@ -28,11 +28,11 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def words(column, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the runs of bytes other than space and \\t..\\r: hashes, where each document's begin (documents + 1), first and end bytes."""
     data, off = bytes_of(column)
     n = len(data)
-    space = SPACE[data]
+    space = space[data]
     first = np.empty(n, bool)
     if n:
         first[0] = True

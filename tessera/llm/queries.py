@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, langid, minhash_dedup, mixing, token_store
+from tessera.llm import decontaminate, langid, minhash_dedup, mixing, suffix_dedup, token_store
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_minhash_near_dedup": minhash_dedup.query,
     "op5_mixing": mixing.query,
     "op6_decontamination": decontaminate.query,

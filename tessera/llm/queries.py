@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, langid, minhash_dedup, mixing, suffix_dedup, token_store
+from tessera.llm import decontaminate, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, url_templates
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_minhash_near_dedup": minhash_dedup.query,
+    "op3_quality_gbt": quality_gbt.query,
+    "op4_url_templates": url_templates.query,
     "op5_mixing": mixing.query,
     "op6_decontamination": decontaminate.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_token_store": token_store.query,
+    "op9_telephony": telephony.query,
     "op10_language_id": langid.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_url_templates": url_templates.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}

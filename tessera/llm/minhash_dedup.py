@@ -23,11 +23,15 @@ from tessera.llm.words import mix, shingles, words
 FREQUENT = 32
 #: As many of them at most, the most frequent first, so that their table (8 bytes each) is safe to send to every task.
 MOST_FREQUENT = 500_000
+#: Values are counted again until those found make up less than this share of all retained.
+FREQUENT_SHARE = 0.02
+#: Rows of a table of ids up to which it is sent to every task.
+SENT_ROWS = 1_000_000
 #: Values from which the first, cheap round of links is made.
 FIRST_VALUES = 8
-#: Lists up to this length give their pairs; longer ones are compared block by block.
+#: Lists up to this length give their pairs; documents on longer ones are compared in blocks of about BLOCK.
 LIST = 96
-BLOCK = 192
+BLOCK = 512
 LAST = np.int64(1) << np.int64(61)
 
 
@@ -97,53 +101,89 @@ def _likely(pairs: DataFrame, sk: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of ids for a join: sent to every task if its rows are few (about 30 bytes each), else shuffled."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+    """The pairs whose full sets reach the threshold. Texts travel, not sets: they are smaller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, "ta"):
             ok = []
-            for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            sets = [shingles(*words(batch.column(c))[:2], size) for c in ("ta", "tb")]
+            for u, v in zip(*sets, strict=True):
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 ok.append(100 * both >= threshold * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), size), "none")
-    found = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("vals").alias("va")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("vals").alias("vb")), "b")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi")
+    found = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return written(found.mapInArrow(run, "a bigint, b bigint"))
 
 
-def _blocks(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components in long lists. rows: value, doc_id, n, comp, sketch, len. A list is cut into blocks by its
-    documents' hashes and every two blocks meet in one task, so that no task holds a list and no list is cut off."""
+def _family_links(rows: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links between different components among documents on long lists, compared block by block on their full sets.
+
+    rows: value, doc_id, n, comp, len. A document's family is its longest list; two documents that share a list meet in the
+    task of their families' blocks, once, however many lists they share. A family is cut into blocks of about BLOCK documents
+    and every two blocks meet in one task, so that no task holds a family and none is cut off. A task returns the links of
+    a spanning forest, no more rows than it has documents."""
     import pandas as pd
 
-    cut = rows.withColumn("of", F.ceil(F.col("len") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int"))
-    meets = cut.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumns({"lo": F.least("x", "y"), "hi": F.greatest("x", "y")})
+    longest = rows.groupBy("doc_id").agg(F.max(F.struct("len", "value")).alias("m"), F.first("comp").alias("comp"))
+    own = written(longest.select("doc_id", F.col("m.value").alias("fam"), "comp"))
+    each = written(rows.select("doc_id", "value").join(own, "doc_id"))
+    on = each.select("value", F.col("fam").alias("other")).distinct()
+    meets = each.join(on, "value").select("doc_id", "comp", F.least("fam", "other").alias("p"), F.greatest("fam", "other").alias("q"), (F.col("fam") <= F.col("other")).alias("left")).distinct()
+    meets = written(meets)
+    counts = meets.groupBy("p", "q").agg(F.ceil(F.count_if("left") / BLOCK).alias("nl"), F.ceil(F.count_if(~F.col("left")) / BLOCK).alias("nr"))
+    cut = meets.join(counts, ["p", "q"]).withColumn("same", F.expr("p = q"))
+    cut = cut.withColumn("mine", F.expr("pmod(xxhash64(doc_id), if(left, nl, nr))")).withColumn("x", F.explode(F.expr("sequence(0, if(left and not same, nr, nl) - 1)")))
+    cut = cut.withColumns({"i": F.expr("if(same, least(mine, x), if(left, mine, x))"), "j": F.expr("if(same, greatest(mine, x), if(left, x, mine))")}).withColumn("low", F.expr("if(same, mine = i, left)"))
+    sets = written(_sets(docs.join(_sent(own.select("doc_id")), "doc_id", "left_semi"), size), "none")
+    blocks = cut.select("doc_id", "comp", "p", "q", "i", "j", "low").join(sets, "doc_id")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        ids, ns, comps, sks = g.doc_id.to_numpy(), g.n.to_numpy(), g.comp.to_numpy(), [np.asarray(s, np.int64) for s in g.sketch]
-        one = g.lo.iloc[0] == g.hi.iloc[0]
-        low = (g.x == g.lo).to_numpy()
-        vocab = np.unique(np.concatenate(sks))
-        has = np.zeros((len(ids), len(vocab)), np.float32)
-        for i, s in enumerate(sks):
-            has[i, np.searchsorted(vocab, s)] = 1
-        before = np.cumsum(has, axis=1)
-        ends = np.array([np.searchsorted(vocab, s[-1]) for s in sks])
-        rows_, cols = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(low), np.flatnonzero(~low))
-        both = has[rows_] @ has[cols].T
-        for k, i in enumerate(rows_):
-            end = np.minimum(ends[i], ends[cols])
-            differ = before[i, end] + before[cols, end] - 2 * both[k]
-            fits = (comps[cols] != comps[i]) & (threshold * np.maximum(ns[i], ns[cols]) <= 100 * np.minimum(ns[i], ns[cols])) & ((100 + threshold) * differ <= (100 - threshold) * (ns[i] + ns[cols]))
-            out += [(max(ids[i], j), min(ids[i], j)) for j in ids[cols[fits]]]
+        ids, comps, low = g.doc_id.to_numpy(), g.comp.to_numpy(), g.low.to_numpy()
+        sets = [np.frombuffer(v, np.int64) for v in g.vals]
+        sizes = np.array([len(s) for s in sets])
+        rows_, cols = (np.arange(len(ids)),) * 2 if low.all() else (np.flatnonzero(low), np.flatnonzero(~low))
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes)
+        vocab, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times > 1)  # values of one document alone only count in its size
+        place = np.full(len(vocab), -1)
+        place[shared] = np.arange(len(shared))
+        at = place[at]
+        of, at = of[at >= 0], at[at >= 0]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        both = np.zeros((len(rows_), len(cols)), np.float32)
+        for x in range(0, len(shared), 4096):
+            a, b = np.searchsorted(at, [x, x + 4096])
+            has = np.zeros((len(ids), 4096), np.float32)
+            has[of[a:b], at[a:b] - x] = 1
+            both += has[rows_] @ has[cols].T
+        linked = (100 * both >= threshold * (sizes[rows_][:, None] + sizes[cols][None, :] - both)) & (comps[rows_][:, None] != comps[cols][None, :])
+        root = {c: c for c in comps.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            i, j = rows_[i], cols[j]
+            u, v = find(comps[i]), find(comps[j])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return meets.groupBy("value", "lo", "hi").applyInPandas(run, "a bigint, b bigint")
+    return blocks.groupBy("p", "q", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def _with_component(ids: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -162,39 +202,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
     # equal sets are one class from here on; its smallest document stands for it
     classes = all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = written(all_.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
-    reps = members.where("doc_id = rep and n > 0").select("doc_id")
-    sk = written(all_.select("doc_id", "n", "sketch").join(reps, "doc_id", "left_semi"))
-    known = np.empty(0, np.int64)
-    for _ in range(3):
-        counts = sk.select(F.explode("sketch").alias("value")).groupBy("value").count().where(F.col("count") > FREQUENT).where(f"value < {int(LAST)}")
-        found = counts.orderBy(F.desc("count"), "value").limit(MOST_FREQUENT - len(known)).select("value").toArrow().column(0).to_numpy()
-        if not len(found):
+    copies = written(members.where("doc_id != rep or n = 0").select("doc_id"))
+    sk = all_.select("doc_id", "n", "sketch").join(_sent(copies), "doc_id", "left_anti")
+    known, share = np.empty(0, np.int64), 1.0
+    while share > FREQUENT_SHARE and len(known) < MOST_FREQUENT:
+        counts = sk.select(F.explode("sketch").alias("value")).groupBy("value").count()
+        counts = written(counts.where(F.col("count") > FREQUENT).where(f"value < {int(LAST)}"))
+        found = counts.orderBy(F.desc("count"), "value").limit(MOST_FREQUENT - len(known)).toArrow()
+        if not found.num_rows:
             break
-        known = np.union1d(known, found)
+        known = np.union1d(known, found.column("value").to_numpy())
+        share = found.column("count").to_numpy().sum() / sk.agg(F.sum(F.size("sketch"))).first()[0]
         sent = spark.sparkContext.broadcast(known)
-        sk = written(sketches(docs, size, threshold, sent).select("doc_id", "n", "sketch").join(reps, "doc_id", "left_semi"))
+        sk = written(sketches(docs.join(_sent(copies), "doc_id", "left_anti"), size, threshold, sent).select("doc_id", "n", "sketch"))
 
     # first round: each document with the smallest one on the list of each of its first values
-    few = sk.select("doc_id", F.explode(F.slice("sketch", 1, FIRST_VALUES)).alias("value"))
-    heads = few.groupBy("value").agg(F.min("doc_id").alias("b"), F.count("*").alias("len")).where("len > 1")
-    pairs = few.join(heads, "value").where("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    links = _confirmed(written(_likely(pairs, sk, threshold)), docs, size, threshold)
+    few = sk.select("doc_id", "n", F.explode(F.slice("sketch", 1, FIRST_VALUES)).alias("value"))
+    heads = few.groupBy("value").agg(F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("nb"), F.count("*").alias("len")).where("len > 1")
+    pairs = few.join(heads, "value").where(f"doc_id != b and {threshold} * greatest(n, nb) <= 100 * least(n, nb)").select(F.col("doc_id").alias("a"), "b").distinct()
+    links = _confirmed(written(_likely(written(pairs), sk, threshold)), docs, size, threshold)
     comps = components(links)
 
     # second round: every retained value, where its list still spans more than one component
-    lists = _with_component(sk.select("doc_id", "n"), comps)
-    rows = sk.select("doc_id", F.explode("sketch").alias("value")).join(lists, "doc_id")
+    rows = _with_component(sk, comps).select("doc_id", "n", "comp", F.explode("sketch").alias("value"))
     open_ = rows.groupBy("value").agg(F.count("*").alias("len"), F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("value", "len")
-    rows = written(rows.join(open_, "value"))
+    rows = written(rows.join(_sent(written(open_)), "value"))
     short = rows.where(f"len <= {LIST}")
     left, right = short.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = left.join(right, "value").where(f"a > b and ca != cb and {threshold} * greatest(na, nb) <= 100 * least(na, nb)").select("a", "b").distinct()
     pairs = written(_likely(pairs, sk, threshold))
     long_ = rows.where(f"len > {LIST}")
-    if long_.limit(1).count():
-        pairs = written(pairs.union(_blocks(long_.join(sk.select("doc_id", "sketch"), "doc_id"), threshold)).distinct())
     more = _confirmed(pairs, docs, size, threshold)
-    comps = components(comps.select("a", "b").union(more.select("a", "b")))
+    if long_.limit(1).count():
+        more = more.union(written(_family_links(long_, docs, size, threshold)))
+    comps = components(comps.select("a", "b").union(more))
     out = members.join(comps.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that say a title is another kind of book about the first.
 MARKERS = ["workbook", "summary", "journal", "study guide", "companion", "analysis", "notebook", "calendar", "box set", "collection"]
@@ -40,7 +41,7 @@ def isbn10_to_13(c: Column) -> Column:
     return F.when(isbn10_valid(c), F.concat(body, F.pmod(10 - total % 10, F.lit(10)).cast("string")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; distinct pairs of a batch are compared once."""
     from difflib import SequenceMatcher

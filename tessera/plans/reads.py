@@ -91,11 +91,11 @@ def lists_page1(c: Catalogue) -> DataFrame:
     return page(public, [F.desc_nulls_last("n"), F.asc("title"), F.asc("id")], 1, 20).crossJoin(total).select("id", "title", "n", "total")
 
 
-@query(over("items", """SELECT genre, count(*) AS n, min(id) AS first_id FROM (SELECT id, CASE WHEN regexp_matches(title, '(?i)\\b(steel|brass|tin|copper|nickel)\\b') THEN 'fiction' WHEN regexp_matches(title, '(?i)\\b(polished|burnished|anodized|plated)\\b') THEN 'nonfiction' ELSE 'other' END AS genre FROM items) GROUP BY genre"""))
+@query(over("items", """SELECT genre, count(*) AS n, min(id) AS first_id FROM (SELECT id, CASE WHEN regexp_matches(title, '(?i)\\b(ring|widget|gizmo)\\b') THEN 'fiction' WHEN regexp_matches(title, '(?i)\\b(bolt|gear|rod|old)\\b') THEN 'nonfiction' ELSE 'other' END AS genre FROM items) GROUP BY genre"""))
 def topic_classes(c: Catalogue) -> DataFrame:
     """A keyword ladder: the first group of words that a title holds decides."""
     t = F.col("title")
-    genre = F.when(t.rlike(r"(?i)\b(steel|brass|tin|copper|nickel)\b"), "fiction").when(t.rlike(r"(?i)\b(polished|burnished|anodized|plated)\b"), "nonfiction").otherwise("other")
+    genre = F.when(t.rlike(r"(?i)\b(ring|widget|gizmo)\b"), "fiction").when(t.rlike(r"(?i)\b(bolt|gear|rod|old)\b"), "nonfiction").otherwise("other")
     return c.items.select("id", genre.alias("genre")).groupBy("genre").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -136,14 +136,14 @@ def lists_for_item(c: Catalogue) -> DataFrame:
 
 @query(over("counted", """, a AS (SELECT id, 'rating' AS issue, 0 AS o, recs FROM counted WHERE rating < 1 OR rating > 5 OR rating IS NULL ORDER BY recs DESC, id LIMIT 200),
 b AS (SELECT id, 'price', 1, recs FROM counted WHERE price IS NULL OR price < 950 ORDER BY recs DESC, id LIMIT 200),
-d AS (SELECT id, 'title', 2, recs FROM counted WHERE title ILIKE '%steel%' OR title ILIKE '%tin%' ORDER BY recs DESC, id LIMIT 200),
+d AS (SELECT id, 'title', 2, recs FROM counted WHERE title ILIKE '%gizmo%' OR title ILIKE '%old%' ORDER BY recs DESC, id LIMIT 200),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS k FROM u)
 SELECT issue, count(*) AS n, count(*) FILTER (WHERE recs >= 30) AS popular, sum(recs)::BIGINT AS recs FROM f WHERE k = 1 GROUP BY issue"""))
 def audit_union(c: Catalogue) -> DataFrame:
     """Three diagnostics, each the most recommended of its rows, joined first-wins and rolled up."""
     it = c.counted_items
     order = [F.desc("recs"), F.asc("id")]
-    parts = [("rating", it.where("rating < 1 or rating > 5 or rating is null")), ("price", it.where("price is null or price < 950")), ("title", it.where(contains_any(["title"], "steel") | contains_any(["title"], "tin")))]
+    parts = [("rating", it.where("rating < 1 or rating > 5 or rating is null")), ("price", it.where("price is null or price < 950")), ("title", it.where(contains_any(["title"], "gizmo") | contains_any(["title"], "old")))]
     rows = first_wins([top(df, order, 200).select("id", F.lit(name).alias("issue"), "recs") for name, df in parts], "id")
     return rows.groupBy("issue").agg(F.count("*").alias("n"), F.count_if(F.col("recs") >= 30).alias("popular"), F.sum("recs").alias("recs"))
 

@@ -62,7 +62,7 @@ def outbound_rel(url: Column) -> Column:
 
 def snowflake_year(url: Column) -> Column:
     """The year of a post from its id (ids above 2**32 carry their time), else a /YYYY/ in the path; null without either."""
-    post = F.regexp_extract(url, r"/status/(\d{1,18})", 1).try_cast("bigint")
+    post = F.regexp_extract(url, r"/status/(\d{1,19})", 1).try_cast("bigint")
     at = F.timestamp_millis(F.shiftright(post, 22) + 1288834974657)
     return F.when(post > (1 << 32), F.year(at)).otherwise(F.regexp_extract(url, r"/((?:19|20)\d\d)/", 1).try_cast("int"))
 

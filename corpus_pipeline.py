@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language the model knows; lang becomes the predicted one. Rows with a null doc_id go: nothing later could name them."""
     docs = docs.where("doc_id is not null")
     model = langid.fit(docs.where(F.pmod(crc_of("doc_id"), F.lit(4)) != 2))
-    found = langid.predict(docs, model, keep=[c for c in docs.columns if c != "text"] + ["text"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, keep=docs.columns, names=("is__", "sure__"))
+    return found.where((F.col("is__") != "und") & (F.col("sure__") >= SURE)).withColumn("lang", F.col("is__")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of ids up to which it is sent to every task.
+SENT_ROWS = 1_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A written table of ids for a join: sent to every task if its rows are few (some 50 bytes each), else shuffled."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> tuple["np.ndarray", "np.ndarray"]:
     """The UTF-8 bytes of a string column, one after another, and where each row's begin (rows + 1 offsets). Nulls are empty."""
     import numpy as np
@@ -80,7 +89,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
 
 
 def running_totals(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over all rows of a smaller `key`. Keys are unique and not null.
+    """Adds `out`: the sum of `value` over all rows of a smaller `key` (null is the smallest; rows of one key follow each other).
 
     Rows are dealt by ranges of the key, each task adds up its own range, and one row per task carries the offsets."""
     schema = df.schema.fieldNames()

@@ -233,8 +233,8 @@ def fit(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
     return {"id": uuid.uuid4().hex, "langs": langs, "hashes": hashes, "probs": probs}
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score (the language's share of the text's probability) to doc_id or the columns in `keep`.
+def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds lang_pred and score (or what `names` calls them) (the language's share of the text's probability) to doc_id or the columns in `keep`.
 
     Texts that are null or without a letter: und, 0. Only text is looked at."""
     keep = keep or ["doc_id"]
@@ -246,17 +246,17 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Data
         if m["id"] not in _models:
             _models.clear()
             _models[m["id"]] = _Scorer(m["hashes"], m["probs"])
-        scorer, names = _models[m["id"]], [*m["langs"], "und"]
+        scorer, known = _models[m["id"]], [*m["langs"], "und"]
         for batch in steps(batches, "text__"):
             if m["langs"]:
                 logs, some = scorer.documents(batch.column("text__"))
-                best = np.where(some, logs.argmax(axis=1), len(names) - 1)
+                best = np.where(some, logs.argmax(axis=1), len(known) - 1)
                 score = np.where(some, 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
             else:
-                best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([names[i] for i in best], pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                best, score = np.full(batch.num_rows, len(known) - 1), np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([known[i] for i in best], pa.string()), pa.array(score)], [*keep, *names])
 
-    return docs.select(*keep, F.col("text").alias("text__")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select(*keep, F.col("text").alias("text__")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

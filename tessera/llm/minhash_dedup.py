@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, steps, table, written
+from tessera.llm.common import components, sent, steps, table, written
 from tessera.llm.words import mix, shingles, words
 
 #: Values that more distinct sets than this retain are moved to the end of the order.
@@ -25,8 +25,6 @@ FREQUENT = 32
 MOST_FREQUENT = 500_000
 #: Values are counted again until those found make up less than this share of all retained.
 FREQUENT_SHARE = 0.02
-#: Rows of a table of ids up to which it is sent to every task.
-SENT_ROWS = 1_000_000
 #: Values from which the first, cheap round of links is made.
 FIRST_VALUES = 8
 #: Lists up to this length give their pairs; documents on longer ones are compared in blocks of about BLOCK.
@@ -101,11 +99,6 @@ def _likely(pairs: DataFrame, sk: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    """A written table of ids for a join: sent to every task if its rows are few (about 30 bytes each), else shuffled."""
-    return F.broadcast(df) if df.count() <= SENT_ROWS else df
-
-
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold. Texts travel, not sets: they are smaller."""
 
@@ -119,7 +112,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) ->
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(sent(ids), "doc_id", "left_semi")
     found = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return written(found.mapInArrow(run, "a bigint, b bigint"))
 
@@ -143,7 +136,7 @@ def _family_links(rows: DataFrame, docs: DataFrame, size: int, threshold: int) -
     cut = meets.join(counts, ["p", "q"]).withColumn("same", F.expr("p = q"))
     cut = cut.withColumn("mine", F.expr("pmod(xxhash64(doc_id), if(left, nl, nr))")).withColumn("x", F.explode(F.expr("sequence(0, if(left and not same, nr, nl) - 1)")))
     cut = cut.withColumns({"i": F.expr("if(same, least(mine, x), if(left, mine, x))"), "j": F.expr("if(same, greatest(mine, x), if(left, x, mine))")}).withColumn("low", F.expr("if(same, mine = i, left)"))
-    sets = written(_sets(docs.join(_sent(own.select("doc_id")), "doc_id", "left_semi"), size), "none")
+    sets = written(_sets(docs.join(sent(own.select("doc_id")), "doc_id", "left_semi"), size), "none")
     blocks = cut.select("doc_id", "comp", "p", "q", "i", "j", "low").join(sets, "doc_id")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
     classes = all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = written(all_.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     copies = written(members.where("doc_id != rep or n = 0").select("doc_id"))
-    sk = all_.select("doc_id", "n", "sketch").join(_sent(copies), "doc_id", "left_anti")
+    sk = all_.select("doc_id", "n", "sketch").join(sent(copies), "doc_id", "left_anti")
     known, share = np.empty(0, np.int64), 1.0
     while share > FREQUENT_SHARE and len(known) < MOST_FREQUENT:
         counts = sk.select(F.explode("sketch").alias("value")).groupBy("value").count()
@@ -213,8 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
             break
         known = np.union1d(known, found.column("value").to_numpy())
         share = found.column("count").to_numpy().sum() / sk.agg(F.sum(F.size("sketch"))).first()[0]
-        sent = spark.sparkContext.broadcast(known)
-        sk = written(sketches(docs.join(_sent(copies), "doc_id", "left_anti"), size, threshold, sent).select("doc_id", "n", "sketch"))
+        last = spark.sparkContext.broadcast(known)
+        sk = written(sketches(docs.join(sent(copies), "doc_id", "left_anti"), size, threshold, last).select("doc_id", "n", "sketch"))
 
     # first round: each document with the smallest one on the list of each of its first values
     few = sk.select("doc_id", "n", F.explode(F.slice("sketch", 1, FIRST_VALUES)).alias("value"))
@@ -226,7 +219,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
     # second round: every retained value, where its list still spans more than one component
     rows = _with_component(sk, comps).select("doc_id", "n", "comp", F.explode("sketch").alias("value"))
     open_ = rows.groupBy("value").agg(F.count("*").alias("len"), F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("value", "len")
-    rows = written(rows.join(_sent(written(open_)), "value"))
+    rows = written(rows.join(sent(written(open_)), "value"))
     short = rows.where(f"len <= {LIST}")
     left, right = short.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), short.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = left.join(right, "value").where(f"a > b and ca != cb and {threshold} * greatest(na, nb) <= 100 * least(na, nb)").select("a", "b").distinct()

@@ -106,7 +106,9 @@ def score(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """A model from documents (doc_id, text) and labels (doc_id, quality 0/1; nulls and repeated ids do not count twice)."""
+    """A model from documents (doc_id, text) and labels (doc_id, quality 0/1).
+
+    Labels without a value are left out; of repeated ones the larger counts; without any, every score is 0.5."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     total = known.count()
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, fit_rows / max(1, total)) * (1 << 30)))
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict[
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.float64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     # about fit_rows rows of 200 bytes come to the driver, however many labels there are
-    got = docs.join(chosen, "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id bigint, y double, x array<double>").toArrow().sort_by("doc_id")
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, "doc_id bigint, y double, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(STATISTICS))
     return fit(x, got.column("y").to_numpy())
 

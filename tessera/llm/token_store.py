@@ -19,16 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, running_totals, steps, table, written
+from tessera.llm.common import bytes_of, running_totals, sent, steps, table, written
 from tessera.llm.words import SPACE, mix, powers
 
 END = 0
 #: The rolling hash looks at WINDOW ids; a chunk has 2**BITS ids in the mean, LEAST at least (but the last), MOST at most.
 WINDOW, BITS, LEAST, MOST = 8, 9, 16, 4096
-#: Rows of repeated chunks up to which their list (16 bytes each) is sent to every task; beyond, both sides are shuffled.
-SENT_ROWS = 1_000_000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Pieces that the library gets in one string.
 CHAIN = 500
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -178,11 +176,15 @@ def address(chunk: bytes) -> bytes:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, root, addresses, chunks (ids as little-endian unsigned 16-bit) of each document."""
+    """uid (of the row), doc_id, n_tokens, root, addresses, chunks (ids as little-endian unsigned 16-bit) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or _encoders.update({path: _Encoder(path)}) or _encoders[path]
-        for batch in steps(batches):
+        from pyspark import TaskContext
+
+        if path not in _encoders:
+            _encoders[path] = _Encoder(path)
+        encoder, uid = _encoders[path], TaskContext.get().partitionId() << 40
+        for batch in steps(batches, limit=2 << 20):
             ids, off = encoder.encode(batch.column("text"))
             ends = _cuts(ids, off)
             raw, at = ids.astype("<u2").tobytes(), np.concatenate([[0], ends]) * 2
@@ -191,9 +193,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.array(np.searchsorted(ends, off, "right"), pa.int32())
             cut = lists.to_pylist()
             roots = [merkle(names[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(lists, pa.array(names, pa.binary())), pa.ListArray.from_arrays(lists, pa.array(chunks, pa.binary()))], ["doc_id", "n_tokens", "root", "addresses", "chunks"])
+            uids = np.arange(uid, uid + batch.num_rows)
+            uid += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(uids), batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(lists, pa.array(names, pa.binary())), pa.ListArray.from_arrays(lists, pa.array(chunks, pa.binary()))], ["uid", "doc_id", "n_tokens", "root", "addresses", "chunks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, root binary, addresses array<binary>, chunks array<binary>")
+    return docs.select("doc_id", "text").mapInArrow(run, "uid bigint, doc_id bigint, n_tokens bigint, root binary, addresses array<binary>, chunks array<binary>")
 
 
 @dataclass
@@ -214,29 +218,30 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, path: str | None = None) -> Store:
-    """Encodes whole texts (null: empty), stores distinct chunks once, and writes recipes and manifest. doc_id is unique and not null."""
+    """Encodes whole texts (null: empty), stores distinct chunks once, and writes recipes and manifest.
+
+    A null doc_id comes first; rows that repeat a doc_id each have a recipe, in any order among them. Other columns are ignored."""
     all_ = written(encoded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), path or tokenizer_path()))
-    each = all_.select("doc_id", F.posexplode("addresses").alias("seq", "address"))
+    each = all_.select("uid", F.posexplode("addresses").alias("seq", "address"))
     # every holder of a repeated chunk but its first, found on digests alone
-    repeated = each.groupBy("address").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "seq")).alias("owner")).where("c > 1").select("address", "owner")
-    extra = written(each.join(repeated, "address").where("struct(doc_id, seq) != owner").select("doc_id", "seq"))
-    chunks = all_.select("doc_id", F.posexplode(F.arrays_zip("addresses", "chunks")).alias("seq", "x")).select("doc_id", "seq", F.col("x.addresses").alias("address"), F.col("x.chunks").alias("ids"))
-    extra = F.broadcast(extra) if extra.count() <= SENT_ROWS else extra
-    chunks = written(chunks.join(extra, ["doc_id", "seq"], "left_anti").select("address", "ids"))
+    repeated = each.groupBy("address").agg(F.count("*").alias("c"), F.min(F.struct("uid", "seq")).alias("owner")).where("c > 1").select("address", "owner")
+    extra = written(each.join(repeated, "address").where("struct(uid, seq) != owner").select("uid", "seq"))
+    chunks = all_.select("uid", F.posexplode(F.arrays_zip("addresses", "chunks")).alias("seq", "x")).select("uid", "seq", F.col("x.addresses").alias("address"), F.col("x.chunks").alias("ids"))
+    chunks = written(chunks.join(sent(extra), ["uid", "seq"], "left_anti").select("address", "ids"))
     recipes = written(running_totals(all_.select("doc_id", "n_tokens", "root", "addresses"), "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens", "root", "addresses"))
     return Store(chunks, recipes, written(_manifest(recipes)))
 
 
 def read_ids(store: Store) -> DataFrame:
     """doc_id, ids array<int>: documents put together again from recipes and chunks."""
-    parts = store.recipes.select("doc_id", F.posexplode("addresses").alias("seq", "address")).join(store.chunks, "address")
+    parts = store.recipes.select("doc_id", "start", F.posexplode("addresses").alias("seq", "address")).join(store.chunks, "address")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = [np.frombuffer(b"".join(x["ids"] for x in sorted(p, key=lambda x: x["seq"])), "<u2").astype(np.int32) for p in b.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(docs, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "ids")).alias("parts")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "ids")).alias("parts")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def _shift_tables(bits: int = 40) -> np.ndarray:
@@ -311,9 +316,10 @@ def verified(store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(joined_crc(crcs, n * 4, cut).astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     sums = store.chunks.mapInArrow(check, "address binary, crc bigint, n bigint")
-    parts = store.recipes.select("doc_id", F.posexplode("addresses").alias("seq", "address")).join(sums, "address")
-    parts = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "crc", "n"))).alias("parts"))
-    whole = store.recipes.select("doc_id", "start", "n_tokens", "root").join(parts, "doc_id", "left")
+    # a document's first place names it: each has one id at least
+    parts = store.recipes.select("start", F.posexplode("addresses").alias("seq", "address")).join(sums, "address")
+    parts = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "crc", "n"))).alias("parts"))
+    whole = store.recipes.select("doc_id", "start", "n_tokens", "root").join(parts, "start").select("doc_id", "start", "n_tokens", "root", "parts")
     return whole.mapInArrow(join, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

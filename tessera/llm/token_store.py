@@ -149,7 +149,7 @@ class _Encoder:
 def _cuts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Ends of chunks: where the rolling hash's top bits are zero, at each document's end, and every MOST ids."""
     gear, rolled = _GEAR[ids], np.zeros(len(ids), np.uint64)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(ids))):
         rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
     cut = (mix(rolled) >> np.uint64(64 - BITS)) == 0
     inside = np.arange(len(ids)) - np.repeat(off[:-1], np.diff(off))

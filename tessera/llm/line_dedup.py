@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, table, written
+from tessera.llm.common import components, sent, table, written
 
 EDITS = 1
 #: Shorter lines (in characters) are only compared for equality.
@@ -32,6 +32,11 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.select("id", "probe", F.explode(F.array(left, right)).alias("x")).select("id", "probe", "x.*")
 
 
+def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines with one of the ids, before any of the others is shuffled."""
+    return lines.select("id", "line").join(sent(written(ids.distinct())), "id", "left_semi")
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     lists, probes = rows.where("not probe").select("key", F.col("id").alias("b")), rows.select("key", F.col("id").alias("a"), "probe")
     return lists.join(probes, "key").where("probe or a > b").select("a", "b").distinct()
@@ -46,16 +51,17 @@ def edit_links(lines: DataFrame) -> DataFrame:
     while True:
         cut = written(_split(rows), "lz4")
         lists = cut.groupBy("key").agg(F.count("*").alias("len"), F.count_if(~F.col("probe")).alias("lists")).where("lists > 1 or lists = 1 and len > 1").select("key", "len")
-        cut = written(cut.join(lists, "key"))
+        cut = written(cut.join(sent(written(lists)), "key"))
         ready = cut.where(f"len <= {LIST} or n <= 2")
         found = written(_pairs(ready))
         pairs = found if pairs is None else pairs.union(found)
         longer = cut.where(f"len > {LIST} and n > 2").select("id", "probe", "key", "a", "n")
         if not longer.limit(1).count():
             break
-        rows = longer.join(lines.select("id", "line"), "id")
-    texts = lines.select("id", "line")
-    both = pairs.distinct().join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+        rows = longer.join(_of(lines, longer.select("id")), "id")
+    pairs = written(pairs.distinct())
+    texts = _of(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import overlaps, pipelines, reads, texts  # noqa: F401
+from tessera.plans import evidence_plans, overlaps, pipelines, reads, texts  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,17 +32,18 @@ def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, cluster (the smallest id reachable over links a, b). nodes: id.
 
     Labels shrink to their neighbours' least and are then looked up once more in each round, so rounds grow with the
-    logarithm of the longest chain; each round's labels are checkpointed where a checkpoint folder is set."""
-    spark = nodes.sparkSession
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    save = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda d: d)
+    logarithm of the longest chain; each round's labels are checkpointed, in the folder that spark.checkpoint.dir names."""
+    context = nodes.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # set on a cluster; a single machine gets a folder of its own
+        context.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster"))
     last = -1
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("low"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
         hop = step.join(step.select(F.col("id").alias("cluster"), F.col("cluster").alias("via")), "cluster").select("id", F.least("cluster", "via").alias("cluster"))
-        labels = save(hop)
+        labels = hop.checkpoint()
         total = labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
         if total == last:
             return labels

@@ -100,7 +100,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, path = host_path(F.col("url"))
     doc = pages.select("page_id", F.expr("url")).select("page_id", F.regexp_extract(path, r"/([0-9]{1,18})[^/0-9]*/?$", 1).alias("id")).where("id != ''").select("page_id", F.col("id").cast("bigint").alias("doc_id"))
     bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("label"))
-    return judged(pages, doc.join(bad, "doc_id").select("page_id", "label"))
+    return judged(pages, doc.join(bad, "doc_id").select("page_id", "label")).drop("impurity")
 
 
 def _sql() -> str:
@@ -135,7 +135,7 @@ o AS (SELECT host, sum(bad)::DOUBLE hb, sum(seen)::DOUBLE hs FROM t{LEVELS + 1}
 e AS (SELECT host, template, sum(seen)::DOUBLE labelled, sum(bad)::DOUBLE b FROM t{LEVELS + 1} GROUP BY ALL),
 i AS (SELECT e.host, e.template, (b + {PRIOR} * ((hb + {PRIOR} * whole) / (hs + {PRIOR}))) / (labelled + {PRIOR}) AS impurity FROM e JOIN o USING (host), w),
 v AS (SELECT t.host, t.parts, t.template, i.impurity, CASE WHEN impurity >= {IMPURE} THEN 'block' ELSE 'allow' END AS says FROM t{LEVELS + 1} t JOIN i ON t.host = i.host AND t.template = i.template)
-SELECT page_id, p.host, path, {rule.replace("host", "p.host")} AS rule, coalesce({verdict.replace("host", "p.host")}, says) AS verdict, template, round(impurity, 9) AS impurity
+SELECT page_id, p.host, path, {rule.replace("host", "p.host")} AS rule, coalesce({verdict.replace("host", "p.host")}, says) AS verdict, template
 FROM p JOIN v ON p.host = v.host AND p.parts = v.parts"""
 
 

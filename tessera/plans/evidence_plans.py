@@ -70,18 +70,17 @@ def token_runs(c: Catalogue) -> DataFrame:
     return ev.token_run(c.items, "id", text, names)
 
 
-@query(over("shelves items", """, d AS (SELECT DISTINCT series, person, title FROM shelves JOIN items ON item = id WHERE person <= 60),
-m AS (SELECT series, count(DISTINCT person) AS members FROM d WHERE person % 20 = 0 GROUP BY series)
-SELECT series, title FROM d JOIN m USING (series) WHERE person % 20 = 0 GROUP BY series, title, members HAVING count(DISTINCT person) = members"""))
+@query(over("items", """, d AS (SELECT DISTINCT title, size > 25 AS part, series FROM items), m AS (SELECT title, count(DISTINCT part) AS members FROM d GROUP BY title)
+SELECT title, series FROM d JOIN m USING (title) GROUP BY title, series, members HAVING count(DISTINCT part) = members"""))
 def common_quotes(c: Catalogue) -> DataFrame:
-    rows = c.shelves.where("person <= 60 and person % 20 = 0").join(c.items.select(F.col("id").alias("item"), "series", "title"), "item")
-    return ev.common_to_all(rows, "series", "person", "title")
+    """Series that hold a title both in small and in large."""
+    return ev.common_to_all(c.items.withColumn("part", F.col("size") > 25), "title", "part", "series")
 
 
-@query(over("recs_", """, y AS (SELECT DISTINCT item, year(at_) AS y FROM recs_ WHERE rec_id % 9 = 0), n AS (SELECT item, y, lead(y) OVER (PARTITION BY item ORDER BY y) - y AS gap FROM y)
+@query(over("recs_", """, y AS (SELECT DISTINCT item, year(at_) AS y FROM recs_), n AS (SELECT item, y, lead(y) OVER (PARTITION BY item ORDER BY y) - y AS gap FROM y)
 SELECT item, min(CASE WHEN gap <= 1 THEN y END)::INTEGER AS year FROM n GROUP BY item"""))
 def corroborated_years(c: Catalogue) -> DataFrame:
-    return ev.corroborated(c.recs.where("rec_id % 9 = 0").withColumn("y", F.year("at")), "item", "y", 1)
+    return ev.corroborated(c.recs.withColumn("y", F.year("at")), "item", "y", 1)
 
 
 @query("""SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type, max(ts)::VARCHAR AS last FROM events GROUP BY user_id""")
@@ -130,23 +129,23 @@ def dedupe_verdicts(c: Catalogue) -> DataFrame:
     return p.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("pairs"), F.min("a").alias("first_a"))
 
 
-@query(over("counted", """, t AS (SELECT 1 AS tab, id, title, author, NULL AS rating, recs FROM counted WHERE id % 2 = 0 UNION ALL SELECT 2, id, upper(title), author, rating, recs FROM counted),
+@query(over("counted", """, t AS (SELECT 1 AS tab, id, title, author, NULL AS rating, recs FROM counted WHERE size % 2 = 0 UNION ALL SELECT 2, id, upper(title), author, rating, recs FROM counted),
 k AS (SELECT lower(replace(title, ' ', '-')) || '::' || lower(replace(author, '#', '')) AS key, * FROM t)
 SELECT key, arg_min(title, (tab, id)) AS title, arg_max(rating, (CASE WHEN rating IS NULL THEN -1 ELSE recs END, -id)) AS rating, count(*) AS rows FROM k GROUP BY key"""))
 def master_rebuild(c: Catalogue) -> DataFrame:
     """Rows of several tabs under one key: the first tab's title, the rating with most votes."""
     it = c.counted_items
-    tabs = it.where("id % 2 = 0").select(F.lit(1).alias("tab"), "id", "title", "author", F.lit(None).cast("double").alias("rating"), "recs").union(it.select(F.lit(2), "id", F.upper("title"), "author", "rating", "recs"))
+    tabs = it.where("size % 2 = 0").select(F.lit(1).alias("tab"), "id", "title", "author", F.lit(None).cast("double").alias("rating"), "recs").union(it.select(F.lit(2), "id", F.upper("title"), "author", "rating", "recs"))
     key = F.concat_ws("::", slugify(F.col("title")), slugify(F.col("author")))
     votes = F.struct(F.when(F.col("rating").isNull(), F.lit(-1)).otherwise(F.col("recs")).alias("v"), (-F.col("id")).alias("o"))
     return tabs.groupBy(key.alias("key")).agg(F.min_by("title", F.struct("tab", "id")).alias("title"), F.max_by("rating", votes).alias("rating"), F.count("*").alias("rows"))
 
 
-@query(over("items", """, s AS (SELECT id, replace(title, ' ', '-') AS slug FROM items WHERE id < 400 UNION ALL SELECT 10000, 'red-ring-2'), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS k FROM s)
+@query(over("items", """, s AS (SELECT id, replace(title, ' ', '-') AS slug FROM items UNION ALL SELECT -1, 'red-ring-2'), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS k FROM s)
 SELECT id, CASE WHEN k = 1 THEN slug WHEN slug || '-' || k IN (SELECT slug FROM s) THEN slug || '--' || k ELSE slug || '-' || k END AS unique_slug FROM k"""))
 def unique_slugs(c: Catalogue) -> DataFrame:
-    rows = c.items.where("id < 400").select("id", slugify(F.col("title")).alias("slug"))
-    rows = rows.union(c.items.where("id = 0").select(F.lit(10000).cast("bigint"), F.lit("red-ring-2")))
+    rows = c.items.select("id", slugify(F.col("title")).alias("slug"))
+    rows = rows.union(c.spark.range(1).select(F.lit(-1).cast("bigint"), F.lit("red-ring-2")))
     return ev.unique_slugs(rows, "slug", [F.asc("id")]).select("id", "unique_slug")
 
 
@@ -157,12 +156,12 @@ def context_assembly(c: Catalogue) -> DataFrame:
     return rows.groupBy("item").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]), ", ").alias("names"), F.min("confidence").alias("least"))
 
 
-@query(over("list_members counted", """, m AS (SELECT list, item, title, recs FROM list_members JOIN counted ON item = id WHERE list <= 30), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list, title ORDER BY recs DESC, item) AS k FROM m) WHERE k = 1),
+@query(over("list_members counted", """, m AS (SELECT list, item, title, recs FROM list_members JOIN counted ON item = id), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list, title ORDER BY recs DESC, item) AS k FROM m) WHERE k = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY recs DESC, item) AS pos, row_number() OVER (PARTITION BY list ORDER BY title, item) AS az, count(*) FILTER (WHERE recs >= 42) OVER (PARTITION BY list) AS big, max(recs) OVER (PARTITION BY list) AS top FROM e)
 SELECT list, item, pos, az, CASE WHEN CASE WHEN big > 0 THEN recs >= 42 ELSE pos <= 12 END THEN 'primary' ELSE 'more' END AS part, recs = top AS leader FROM r"""))
 def list_page(c: Catalogue) -> DataFrame:
     """A list's page: editions of one title once, ranked, A to Z, split in what leads and what follows, with the tied leaders."""
-    m = c.list_members.where("list <= 30").join(c.counted_items.select(F.col("id").alias("item"), "title", "recs"), "item")
+    m = c.list_members.join(c.counted_items.select(F.col("id").alias("item"), "title", "recs"), "item")
     e = resolve.survivors(m, ["list", "title"], [F.desc("recs"), F.asc("item")])
     by, all_ = Window.partitionBy("list").orderBy(F.desc("recs"), F.asc("item")), Window.partitionBy("list")
     r = e.select("list", "item", "recs", F.row_number().over(by).cast("bigint").alias("pos"), F.row_number().over(Window.partitionBy("list").orderBy("title", "item")).cast("bigint").alias("az"), F.count_if(F.col("recs") >= 42).over(all_).alias("big"), F.max("recs").over(all_).alias("top"))
@@ -187,13 +186,13 @@ def list_visuals(c: Catalogue) -> DataFrame:
     return ev.greedy_covers(top.join(places, "list"), 60).select("list", F.array_join("covers", " ").alias("covers"))
 
 
-@query(over("items", """, cards AS (SELECT id AS card, CASE WHEN id % 4 = 0 THEN id END AS asin, CASE WHEN id % 4 = 1 THEN id + 1 END AS isbn, CASE WHEN id % 11 = 0 THEN 'another title' ELSE title END AS title, author FROM items WHERE id < 1000),
+@query(over("items", """, cards AS (SELECT id AS card, CASE WHEN id % 4 = 0 THEN id END AS asin, CASE WHEN id % 4 = 1 THEN id + 1 END AS isbn, CASE WHEN id % 11 = 0 THEN 'another title' ELSE title END AS title, author FROM items),
 ta AS (SELECT title, author, count(*) AS n, min(id) AS id FROM items GROUP BY title, author),
 h AS (SELECT card, c.title, coalesce(a.id, b.id, CASE WHEN t.n = 1 THEN t.id END) AS hit, CASE WHEN a.id IS NOT NULL THEN 'asin' WHEN b.id IS NOT NULL THEN 'isbn' WHEN t.n = 1 THEN 'title_author' WHEN t.n > 1 THEN 'ambiguous' ELSE 'no_key_match' END AS method FROM cards c LEFT JOIN items a ON c.asin = a.id LEFT JOIN items b ON c.isbn = b.id LEFT JOIN ta t ON c.title = t.title AND c.author = t.author)
 SELECT CASE WHEN hit IS NOT NULL AND items.title <> h.title THEN 'title_disagrees' ELSE method END AS outcome, count(*) AS n FROM h LEFT JOIN items ON hit = items.id GROUP BY 1"""))
 def priority_match(c: Catalogue) -> DataFrame:
     """Cards matched by product id, then book number, then title and author if only one row has them; unlike titles veto."""
-    cards = c.items.where("id < 1000").select(F.col("id").alias("card"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("asin"), F.when(F.col("id") % 4 == 1, F.col("id") + 1).alias("isbn"), F.when(F.col("id") % 11 == 0, F.lit("another title")).otherwise(F.col("title")).alias("title"), "author")
+    cards = c.items.select(F.col("id").alias("card"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("asin"), F.when(F.col("id") % 4 == 1, F.col("id") + 1).alias("isbn"), F.when(F.col("id") % 11 == 0, F.lit("another title")).otherwise(F.col("title")).alias("title"), "author")
     ids = c.items.select("id")
     pair = lambda: F.concat_ws("|", squash(F.col("title")), squash(F.col("author")), F.col("author"))
     keyed = cards.withColumn("k", pair()).join(ids.select(F.col("id").alias("asin"), F.col("id").alias("by_asin")), "asin", "left").join(ids.select(F.col("id").alias("isbn"), F.col("id").alias("by_isbn")), "isbn", "left").join(resolve.unique_keys(c.items, pair()).select("k", F.col("id").alias("by_pair"), "n"), "k", "left")
@@ -202,13 +201,13 @@ def priority_match(c: Catalogue) -> DataFrame:
     return hit.groupBy(F.when(F.col("t") != F.col("title"), "title_disagrees").otherwise(F.col("method")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(over("items", """, x AS (SELECT title, min(id) AS id, list_sort(string_split(title, ' ')) AS w FROM items GROUP BY title), l AS (SELECT id, w FROM x UNION ALL SELECT 5000 + id, w FROM x WHERE id % 5 = 0)
+@query(over("items", """, x AS (SELECT title, min(id) AS id, list_sort(string_split(title, ' ')) AS w FROM items GROUP BY title), l AS (SELECT id, w FROM x UNION ALL SELECT 5000 + id, w FROM x WHERE title LIKE 'red %')
 SELECT x.id, CASE WHEN count(l.id) = 1 THEN min(l.id) END AS match, CASE WHEN count(l.id) = 1 THEN 'match' WHEN count(l.id) > 1 THEN 'ambiguous' ELSE 'none' END AS outcome FROM x LEFT JOIN l ON x.w = l.w GROUP BY x.id"""))
 def fuzzy_people(c: Catalogue) -> DataFrame:
     """Names whose words agree in any order; two candidates refuse."""
     x = c.items.groupBy("title").agg(F.min("id").alias("id"))
     back = F.array_join(F.reverse(F.split("title", " ")), ", ")
-    right = x.select("id", back.alias("title")).union(x.where("id % 5 = 0").select(F.col("id") + 5000, F.upper("title")))
+    right = x.select("id", back.alias("title")).union(x.where("title like 'red %'").select(F.col("id") + 5000, F.upper("title")))
     return ev.fuzzy_unique(x, right, "title")
 
 

@@ -48,27 +48,28 @@ def dominant_author_lists(c: Catalogue) -> DataFrame:
     return g.join(total, "title").where("n >= 0.25 * total").select("title", F.col("kind").alias("dominant"), "n", "total")
 
 
-@query(over("items", """, want AS (SELECT id AS want_id, upper(title) AS t, author AS a, size FROM items WHERE id % 3 = 0),
-k1 AS (SELECT lower(title) || '|' || author || '|' || size AS k, count(*) AS n, min(id) AS id FROM items WHERE id % 2 = 0 GROUP BY 1),
-k2 AS (SELECT lower(title) || '|' || author AS k, count(*) AS n, min(id) AS id FROM items WHERE id % 2 = 0 GROUP BY 1)
+@query(over("items", """, want AS (SELECT id AS want_id, upper(title) AS t, author AS a, size FROM items WHERE kind IN ('PROMO', 'SMALL')),
+k1 AS (SELECT lower(title) || '|' || author || '|' || size AS k, count(*) AS n, min(id) AS id FROM items WHERE kind NOT IN ('PROMO', 'SMALL') GROUP BY 1),
+k2 AS (SELECT lower(title) || '|' || author AS k, count(*) AS n, min(id) AS id FROM items WHERE kind NOT IN ('PROMO', 'SMALL') GROUP BY 1)
 SELECT want_id, CASE WHEN k1.n = 1 THEN k1.id WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN k2.id END AS match,
  CASE WHEN k1.n = 1 THEN 'full' WHEN k1.n > 1 THEN 'full_ambiguous' WHEN k2.n = 1 THEN 'core' WHEN k2.n > 1 THEN 'core_ambiguous' ELSE 'unmatched' END AS outcome
 FROM want LEFT JOIN k1 ON lower(t) || '|' || a || '|' || size = k1.k LEFT JOIN k2 ON lower(t) || '|' || a = k2.k"""))
 def resolve_ladder(c: Catalogue) -> DataFrame:
     """Two catalogues matched by a full and then a looser key; a key that several rows share refuses."""
-    want = c.items.where("id % 3 = 0").select(F.col("id").alias("want_id"), F.upper("title").alias("t"), F.col("author").alias("a"), "size")
-    have = c.items.where("id % 2 = 0")
+    want = c.items.where("kind in ('PROMO', 'SMALL')").select(F.col("id").alias("want_id"), F.upper("title").alias("t"), F.col("author").alias("a"), "size")
+    have = c.items.where("kind not in ('PROMO', 'SMALL')")
     full = lambda t, a: F.concat_ws("|", F.lower(t), a, F.col("size").cast("string"))
     core = lambda t, a: F.concat_ws("|", F.lower(t), a)
     tiers = [("full", full("t", "a"), full("title", "author")), ("core", core("t", "a"), core("title", "author"))]
     return resolve.ladder(want, have, tiers).select("want_id", "match", "outcome")
 
 
-@query(over("items", """, o AS (SELECT id, title, price FROM items WHERE id % 7 <> 0), n AS (SELECT id, CASE WHEN id % 11 = 0 THEN upper(title) ELSE title END AS title, price FROM items WHERE id % 5 <> 0)
+@query(over("items", """, o AS (SELECT id, title, price FROM items WHERE size <= 40), n AS (SELECT id, CASE WHEN kind = 'PROMO' THEN upper(title) ELSE title END AS title, price FROM items WHERE size >= 10)
 SELECT action, count(*) AS n, min(id) AS first_id FROM (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'missing' WHEN o.title IS DISTINCT FROM n.title OR o.price IS DISTINCT FROM n.price THEN 'conflict' ELSE 'same' END AS action FROM o FULL JOIN n ON o.id = n.id) GROUP BY action"""))
 def snapshot_diff(c: Catalogue) -> DataFrame:
-    old = c.items.where("id % 7 != 0").select("id", "title", "price")
-    new = c.items.where("id % 5 != 0").select("id", F.when(F.col("id") % 11 == 0, F.upper("title")).otherwise(F.col("title")).alias("title"), "price")
+    """What changed between two snapshots: here of all but the largest and of all but the smallest items, one kind renamed."""
+    old = c.items.where("size <= 40").select("id", "title", "price")
+    new = c.items.where("size >= 10").select("id", F.when(F.col("kind") == "PROMO", F.upper("title")).otherwise(F.col("title")).alias("title"), "price")
     return resolve.snapshot_diff(old, new, "id", ["title", "price"]).groupBy("action").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -144,26 +145,28 @@ def list_descriptions(c: Catalogue) -> DataFrame:
     return c.lists.withColumnRenamed("id", "list").join(best, "list").select("list", text.alias("description"))
 
 
-@query(over("items shelves", """, want AS (SELECT person, item + (person % 3) * 1000 AS item FROM shelves WHERE person <= 100)
+@query(over("items shelves", """, want AS (SELECT person, item + (person % 3) * 1000 AS item FROM shelves)
 SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.id IS NULL THEN 'missing_item' WHEN s.item IS NULL THEN 'missing_pair' ELSE 'covered' END AS status FROM want w LEFT JOIN items i ON w.item = i.id LEFT JOIN shelves s ON s.person = w.person AND s.item = w.item) GROUP BY status"""))
 def coverage_gaps(c: Catalogue) -> DataFrame:
     """Pairs that another catalogue lists: covered here, item known but not the pair, or item unknown."""
-    want = c.shelves.where("person <= 100").select("person", (F.col("item") + (F.col("person") % 3) * 1000).alias("item"))
+    want = c.shelves.select("person", (F.col("item") + (F.col("person") % 3) * 1000).alias("item"))
     rows = want.join(c.items.select(F.col("id").alias("item"), F.lit(True).alias("known")), "item", "left").join(c.shelves.withColumn("paired", F.lit(True)), ["person", "item"], "left")
     return rows.groupBy(F.when(F.col("known").isNull(), "missing_item").when(F.col("paired").isNull(), "missing_pair").otherwise("covered").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query(over("recs_", """, a AS (SELECT person, item, confidence FROM recs_ WHERE rec_id % 2 = 0), b AS (SELECT person, item, confidence FROM recs_ WHERE rec_id % 2 = 1)
-SELECT person, item, max(confidence) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE person < 50 GROUP BY person, item"""))
+@query(over("recs_", """, a AS (SELECT person, item, confidence FROM recs_ WHERE at_ < '1997-01-01'), b AS (SELECT person, item, confidence FROM recs_ WHERE at_ >= '1997-01-01')
+SELECT person, item, max(confidence) AS confidence FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY person, item"""))
 def upsert_larger(c: Catalogue) -> DataFrame:
-    old, new = (c.recs.where(f"rec_id % 2 = {k} and person < 50").select("person", "item", "confidence") for k in (0, 1))
+    """Newer recommendations over older ones, the surer of each pair."""
+    old, new = (c.recs.where(f"at {when} timestamp_ntz'1997-01-01'").select("person", "item", "confidence") for when in ("<", ">="))
     return sinks.keep_larger(old, new, ["person", "item"], "confidence")
 
 
-@query(over("recs_", """, a AS (SELECT DISTINCT person, item FROM recs_ WHERE rec_id % 2 = 0), b AS (SELECT DISTINCT person, item FROM recs_ WHERE rec_id % 2 = 1)
+@query(over("recs_", """, a AS (SELECT DISTINCT person, item FROM recs_ WHERE at_ < '1997-01-01'), b AS (SELECT DISTINCT person, item FROM recs_ WHERE at_ >= '1997-01-01')
 SELECT person, count(*) AS added FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY person"""))
 def insert_only_plan(c: Catalogue) -> DataFrame:
-    have, plan = (c.recs.where(f"rec_id % 2 = {k}").select("person", "item") for k in (0, 1))
+    """Newer pairs that the older rows do not hold yet."""
+    have, plan = (c.recs.where(f"at {when} timestamp_ntz'1997-01-01'").select("person", "item") for when in ("<", ">="))
     return sinks.insert_only(plan, have, ["person", "item"]).groupBy("person").agg(F.count("*").alias("added"))
 
 
@@ -196,12 +199,12 @@ def isbn_checks(c: Catalogue) -> DataFrame:
     return rows.select("id", "isbn", isbn13_valid(F.col("isbn")).alias("valid"))
 
 
-@query(over("items", """, x AS (SELECT DISTINCT title FROM items) SELECT a.title AS a, b.title AS b, 1 / 3 AS score FROM x a JOIN x b ON a.title < b.title AND (split_part(a.title, ' ', 1) = split_part(b.title, ' ', 1) OR split_part(a.title, ' ', 2) = split_part(b.title, ' ', 2)) WHERE a.title < 'cold'"""))
+@query(over("items", """, x AS (SELECT DISTINCT title FROM items) SELECT a.title AS a, b.title AS b, 1 / 3 AS score FROM x a JOIN x b ON a.title < b.title AND (split_part(a.title, ' ', 1) = split_part(b.title, ' ', 1) OR split_part(a.title, ' ', 2) = split_part(b.title, ' ', 2)) """))
 def fuzzy_titles(c: Catalogue) -> DataFrame:
     """Titles that share a word, by token Jaccard; blocked on the shared token, so nothing meets that shares none."""
     t = c.items.select("title").distinct().withColumn("toks", tokens(F.col("title")))
     words = t.select("title", "toks", F.explode("toks").alias("w"))
-    pairs = words.select("w", F.col("title").alias("a"), F.col("toks").alias("ta")).join(words.select("w", F.col("title").alias("b"), F.col("toks").alias("tb")), "w").where("a < b and a < 'cold'")
+    pairs = words.select("w", F.col("title").alias("a"), F.col("toks").alias("ta")).join(words.select("w", F.col("title").alias("b"), F.col("toks").alias("tb")), "w").where("a < b")
     rows = pairs.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("score")).distinct()
     return rows.where("score >= 0.3")
 

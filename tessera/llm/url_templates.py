@@ -72,10 +72,10 @@ def templates(pages: DataFrame) -> DataFrame:
         child = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(wild & ~F.col("seg").startswith("*"), F.lit("*")).otherwise(F.col("seg")).alias("to"))
         tree = tree.join(child, ["host", "template", "seg"], "left")
         tree = written(tree.withColumn("template", F.when(F.col("to").isNotNull(), F.concat("template", F.lit("/"), "to")).otherwise(F.col("template"))).drop("seg", "to"))
-    whole = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("seen")), F.lit(0.0)).alias("whole"))
+    whole = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("seen")), F.lit(0.0))).first()[0]
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("seen").alias("host_seen"))
-    share = tree.groupBy("host", "template").agg(F.sum("seen").alias("labelled"), F.sum("bad").alias("bad_pages")).join(hosts, "host").crossJoin(F.broadcast(whole))  # one row
-    prior = (F.col("host_bad") + PRIOR * F.col("whole")) / (F.col("host_seen") + PRIOR)
+    share = tree.groupBy("host", "template").agg(F.sum("seen").alias("labelled"), F.sum("bad").alias("bad_pages")).join(hosts, "host")
+    prior = (F.col("host_bad") + PRIOR * F.lit(whole)) / (F.col("host_seen") + PRIOR)
     impurity = (F.col("bad_pages") + PRIOR * prior) / (F.col("labelled") + PRIOR)
     share = share.select("host", "template", "labelled", F.col("bad_pages").alias("bad"), impurity.alias("impurity"))
     return tree.select("host", "parts", "template").join(share, ["host", "template"]).withColumn("verdict", F.when(F.col("impurity") >= IMPURE, F.lit("block")).otherwise(F.lit("allow")))

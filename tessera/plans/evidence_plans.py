@@ -284,11 +284,12 @@ def series_positions(c: Catalogue) -> DataFrame:
     return c.items.join(y, "id", "left").select("series", "id", F.row_number().over(w).cast("bigint").alias("position"))
 
 
-@query(over("counted", "SELECT id, recs FROM (SELECT id, recs, row_number() OVER (ORDER BY recs DESC, id) AS k FROM counted WHERE recs >= 40) WHERE k % 7 = 0"))
+@query(over("counted", "SELECT id, recs FROM (SELECT id, recs, row_number() OVER (ORDER BY recs DESC, id) AS k FROM counted) WHERE k % 7 = 0 AND k <= 140"))
 def stride_sample(c: Catalogue) -> DataFrame:
-    """Every seventh of the best-known items, for a check by hand; sampling is the feature."""
+    """Every seventh of the 140 best-known items, for a check by hand; sampling is the feature."""
     k = F.row_number().over(Window.orderBy(F.desc("recs"), F.asc("id")))
-    return c.counted_items.where("recs >= 40").select("id", "recs", k.alias("k")).where("k % 7 = 0").select("id", "recs")
+    best = c.counted_items.orderBy(F.desc("recs"), F.asc("id")).limit(140)
+    return best.select("id", "recs", k.alias("k")).where("k % 7 = 0").select("id", "recs")
 
 
 @query(over("shelves people", """, n AS (SELECT person, count(*) AS n FROM shelves GROUP BY person), p AS (SELECT least(a.slug, b.slug) || '-vs-' || greatest(a.slug, b.slug) AS page FROM people a JOIN people b ON b.id = a.id + 1 JOIN n x ON x.person = a.id JOIN n y ON y.person = b.id WHERE x.n >= 20 AND y.n >= 20)

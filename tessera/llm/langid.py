@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_of, steps, table, written
-from tessera.llm.words import mix, words
+from tessera.llm.words import Known, mix, words
 
 #: Labelled documents of each language that the fit may use; they are those with the smallest hashes of doc_id.
 FIT_DOCS = 4_000
@@ -26,7 +26,7 @@ ROUNDS = 3
 PIECE, RUN = 8, 30
 #: Added to each expected count, so that no piece is impossible.
 SMOOTH = 0.05
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _BASES = np.array([mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(PIECE)], np.uint64)
 _MASK = np.uint64((1 << 22) - 1)
 _models: dict[str, "_Scorer"] = {}
@@ -62,7 +62,7 @@ class _Scorer:
         self.hashes, self.probs = hashes, probs
         self.maybe = np.zeros(int(_MASK) + 1, bool)
         self.maybe[(hashes & _MASK).astype(np.int64)] = True
-        self.rows: dict[int, int] = {}
+        self.known = Known()
         self.scores: list[np.ndarray] = []
 
     def _lattice(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +143,12 @@ class _Scorer:
         from tessera.llm.common import bytes_of
 
         distinct, at, where = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.rows) > REMEMBERED:
-            self.rows.clear()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
             self.scores = []
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.rows]
-        if new:
+        rows = self.known.find(distinct)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
             raw = bytes_of(column)[0].tobytes()
             runs = [clean(raw[starts[at[i]] : ends[at[i]]]) for i in new]
             flat = [r for x in runs for r in x]
@@ -156,13 +156,12 @@ class _Scorer:
             own = np.zeros((len(new), langs + 1))
             owner = np.repeat(np.arange(len(new)), [len(x) for x in runs])
             np.add.at(own, owner, np.column_stack([logs, np.ones(len(flat))]))
-            base = sum(map(len, self.scores))
-            for k, i in enumerate(new):
-                self.rows[keys[i]] = base + k
+            rows[new] = sum(map(len, self.scores)) + np.arange(len(new))
+            self.known.add(distinct[new], rows[new])
             self.scores.append(own.astype(np.float32))
         if len(self.scores) > 1:
             self.scores = [np.concatenate(self.scores)]
-        rows = np.array([self.rows[h] for h in keys], np.int64)[where]
+        rows = rows[where]
         total = np.zeros((docs, langs + 1))
         full = np.flatnonzero(np.diff(cut))
         total[full] = np.add.reduceat(self.scores[0][rows].astype(np.float64), cut[:-1][full])

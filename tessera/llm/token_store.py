@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bytes_of, running_totals, sent, steps, table, written
-from tessera.llm.words import SPACE, mix, powers
+from tessera.llm.words import SPACE, Known, mix, powers
 
 END = 0
 #: The rolling hash looks at WINDOW ids; a chunk has 2**BITS ids in the mean, LEAST at least (but the last), MOST at most.
 WINDOW, BITS, LEAST, MOST = 8, 9, 16, 4096
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 1_000_000
-#: Pieces that the library gets in one string.
-CHAIN = 500
+#: Pieces that the library gets in one string, and strings in one call.
+CHAIN, CALL = 500, 200
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?%$&*#")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -55,11 +55,11 @@ class _Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.sizes[i] = len(piece)
-        self.rows: dict[int, int] = {}
+        self.known = Known()
         self.clear()
 
     def clear(self) -> None:
-        self.rows.clear()
+        self.known.clear()
         self.ids, self.ends = [np.empty(0, np.uint16)], [np.zeros(1, np.int64)]
 
     def _pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,13 +100,14 @@ class _Encoder:
         terms = (data.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[inside]
         hashes = mix(np.add.reduceat(terms, starts))
         distinct, at, where = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.rows) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.clear()
-        keys = distinct.tolist()
-        new = np.array([i for i, h in enumerate(keys) if h not in self.rows], np.int64)
+        rows = self.known.find(distinct)
+        new = np.flatnonzero(rows < 0)
         if len(new):
-            self._learn(data, starts[at[new]], lengths[at[new]], regular[at[new]], [keys[i] for i in new], off)
-        rows = np.array([self.rows[h] for h in keys], np.int64)[where]
+            rows[new] = self._learn(data, starts[at[new]], lengths[at[new]], regular[at[new]], off)
+            self.known.add(distinct[new], rows[new])
+        rows = rows[where]
         if len(self.ids) > 1:
             self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
         ids, ends = self.ids[0], self.ends[0]
@@ -121,7 +122,8 @@ class _Encoder:
         out[keep] = flat
         return out, out_off
 
-    def _learn(self, data, begins, lengths, regular, keys, off) -> None:
+    def _learn(self, data, begins, lengths, regular, off) -> np.ndarray:
+        """Encodes the pieces and returns their rows."""
         last = set((off[1:][np.diff(off) > 0]).tolist())  # pieces at a document's end may close with white space
         raw = data.tobytes()
         row, found, ends = sum(map(len, self.ends)) - 1, [], []
@@ -130,7 +132,8 @@ class _Encoder:
             (chain if r and b + n not in last else alone).append((k, raw[b : b + n]))
         parts = [chain[at : at + CHAIN] for at in range(0, len(chain), CHAIN)]
         texts = [b"".join(p for _, p in part).decode() for part in parts] + [p.decode() for _, p in alone]
-        for part, code in zip(parts + [[x] for x in alone], self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        codes = (c for i in range(0, len(texts), CALL) for c in self.library.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False))
+        for part, code in zip(parts + [[x] for x in alone], codes, strict=True):
             ids = np.array(code.ids, np.int64)
             if len(part) == 1:
                 stops = np.array([len(ids)])
@@ -140,10 +143,11 @@ class _Encoder:
             found.append(ids)
             ends.append((np.array([k for k, _ in part]), np.diff(stops, prepend=0)))
         counts = np.concatenate([c for _, c in ends])
-        for i, k in enumerate(np.concatenate([k for k, _ in ends]).tolist()):
-            self.rows[keys[k]] = row + i
+        rows = np.empty(len(begins), np.int64)
+        rows[np.concatenate([k for k, _ in ends])] = row + np.arange(len(begins))
         self.ids.append(np.concatenate(found).astype(np.uint16))
         self.ends.append(int(sum(map(len, self.ids[:-1]))) + np.cumsum(counts))
+        return rows
 
 
 def _cuts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -225,6 +229,7 @@ def write_store(docs: DataFrame, path: str | None = None) -> Store:
     each = all_.select("uid", F.posexplode("addresses").alias("seq", "address"))
     # every holder of a repeated chunk but its first, found on digests alone
     repeated = each.groupBy("address").agg(F.count("*").alias("c"), F.min(F.struct("uid", "seq")).alias("owner")).where("c > 1").select("address", "owner")
+    repeated = written(repeated)  # a table of its own: the join may be split where one chunk is very common
     extra = written(each.join(repeated, "address").where("struct(uid, seq) != owner").select("uid", "seq"))
     chunks = all_.select("uid", F.posexplode(F.arrays_zip("addresses", "chunks")).alias("seq", "x")).select("uid", "seq", F.col("x.addresses").alias("address"), F.col("x.chunks").alias("ids"))
     chunks = written(chunks.join(sent(extra), ["uid", "seq"], "left_anti").select("address", "ids"))

@@ -71,3 +71,40 @@ def shingles(hashes: np.ndarray, cut: np.ndarray, size: int = 5) -> list[np.ndar
         else:
             out.append(np.empty(0, np.int64))
     return out
+
+
+class Known:
+    """Rows of remembered hashes, 16 bytes each: two sorted arrays, the newer merged into the older now and then."""
+
+    RECENT = 100_000
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.old = self.new = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.old[0]) + len(self.new[0])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The hashes' rows, -1 for those not remembered."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, rows in (self.old, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = rows[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        """Hashes that are not remembered yet."""
+        self.new = self._merged(self.new, (hashes, rows))
+        if len(self.new[0]) > self.RECENT:
+            self.old, self.new = self._merged(self.old, self.new), (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys, rows = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], rows[order]

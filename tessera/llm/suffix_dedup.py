@@ -112,7 +112,7 @@ def _cut_out(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
             rows = []
             for doc, text, nodes in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
                 raw = text.encode()
-                rows += [(doc, x["a"], x["lo"], x["hi"], x["weight"], raw[x["lo"] : x["hi"] + length]) for x in nodes]
+                rows += [(doc, x["a"], x["lo"], x["hi"], x["weight"], raw[x["lo"] : x["hi"] + length]) for x in nodes if x["hi"] + length <= len(raw)]
             for at in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 4096], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "a", "lo", "hi", "weight", "bytes"])
 
@@ -154,11 +154,14 @@ def _settled(rows: DataFrame, cores: list[str]) -> tuple[DataFrame, DataFrame]:
     """One rerank. rows: doc_id, a, lo, hi, weight, cores, f1, f2. Returns the runs all of whose windows recur (doc_id, lo, hi),
     and what the next length has to tell apart: one row for each class of equal runs, of weight 2 if the class is settled,
     where a core is held by several classes of which at least one is not."""
-    many = rows.groupBy(*cores).agg(F.count("*").alias("n__")).where("n__ > 1").drop("n__")
+    # counts are tables of their own, so that a join by a hot core may be split
+    many = written(rows.groupBy(*cores).agg(F.count("*").alias("n__")).where("n__ > 1").drop("n__"))
     rows = written(rows.join(many, cores, "left_semi"))
     classes = written(rows.groupBy(*cores, "f1", "f2").agg(F.sum("weight").alias("w"), *(F.first(c).alias(c) for c in ("doc_id", "a", "lo", "hi"))))
-    found = rows.where("weight = 1").join(classes.where("w > 1").select("f1", "f2").distinct(), ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi")
+    whole = written(classes.where("w > 1").select("f1", "f2").distinct())
+    found = rows.where("weight = 1").join(whole, ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi")
     open_ = classes.groupBy(*cores).agg(F.count("*").alias("n__"), F.min("w").alias("least__")).where("n__ > 1 and least__ = 1").drop("n__", "least__")
+    open_ = written(open_)
     return written(found), written(classes.join(open_, cores, "left_semi").select("doc_id", "a", "lo", "hi", F.least("w", F.lit(2)).cast("int").alias("weight")))
 
 
@@ -173,15 +176,16 @@ def recurring(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int
     left = left.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}).join(reach.drop("weight"), ["doc_id", "a"])
     left = left.select("doc_id", "a", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "weight", F.expr(f"substring(bytes, lo2 - lo + 1, hi2 - lo2 + {length})").alias("bytes"))
     single = written(_ranked(left, length, step, True).select("doc_id", "lo", "hi", "weight", "f1", "f2"))
-    twice = single.groupBy("f1", "f2").agg(F.sum("weight").alias("w")).where("w > 1").drop("w")
+    twice = written(single.groupBy("f1", "f2").agg(F.sum("weight").alias("w")).where("w > 1").drop("w"))
     return found.union(single.where("weight = 1").join(twice, ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi"))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, digest_only: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, but for digest_only, kept (the remaining bytes) of every document.
 
-    Null texts are empty; matches never cross documents; doc_id is unique. Other columns are ignored."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    Null texts are empty; matches never cross documents; rows without a doc_id go. Rows that repeat a doc_id and its text count
+    as two documents; one doc_id must not have two texts. Other columns are ignored."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     per = recurring(docs.where(F.octet_length("text") >= length), length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +197,8 @@ def removed(docs: DataFrame, length: int = LENGTH, digest_only: bool = False) ->
             if len(rows):
                 taken = spans.take(pa.array(rows))
                 flat, base = taken.flatten(), np.repeat(off[rows], np.diff(taken.offsets.to_numpy()))
-                np.add.at(edges, flat.field("lo").to_numpy() + base, 1)
-                np.add.at(edges, flat.field("hi").to_numpy() + base + length, -1)
+                np.add.at(edges, np.minimum(flat.field("lo").to_numpy() + base, len(data)), 1)
+                np.add.at(edges, np.minimum(flat.field("hi").to_numpy() + base + length, len(data)), -1)
             gone = np.cumsum(edges)[:-1] > 0
             head = gone.copy()
             head[1:] &= ~gone[:-1]

@@ -126,14 +126,16 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> one row (a, b) for each node that is not its component's smallest: b is that smallest node.
 
-    Alternating large-star and small-star rounds on DataFrames; each round's edges are written to the shared folder."""
+    Alternating large-star and small-star rounds on DataFrames; each round's edges are written to the shared folder. So are the
+    least neighbours: a join with a table of its own may be split where one node has very many edges."""
     e = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large)
+        below = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(below, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a != b").distinct()
         e = written(small)
         before, mark = mark, _mark(e)

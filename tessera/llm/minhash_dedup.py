@@ -129,7 +129,7 @@ def _family_links(rows: DataFrame, docs: DataFrame, size: int, threshold: int) -
     longest = rows.groupBy("doc_id").agg(F.max(F.struct("len", "value")).alias("m"), F.first("comp").alias("comp"))
     own = written(longest.select("doc_id", F.col("m.value").alias("fam"), "comp"))
     each = written(rows.select("doc_id", "value").join(own, "doc_id"))
-    on = each.select("value", F.col("fam").alias("other")).distinct()
+    on = written(each.select("value", F.col("fam").alias("other")).distinct())
     meets = each.join(on, "value").select("doc_id", "comp", F.least("fam", "other").alias("p"), F.greatest("fam", "other").alias("q"), (F.col("fam") <= F.col("other")).alias("left")).distinct()
     meets = written(meets)
     counts = meets.groupBy("p", "q").agg(F.ceil(F.count_if("left") / BLOCK).alias("nl"), F.ceil(F.count_if(~F.col("left")) / BLOCK).alias("nr"))
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     all_ = written(sketches(docs, size, threshold))
     # equal sets are one class from here on; its smallest document stands for it
-    classes = all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = written(all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     members = written(all_.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     copies = written(members.where("doc_id != rep or n = 0").select("doc_id"))
     sk = all_.select("doc_id", "n", "sketch").join(sent(copies), "doc_id", "left_anti")
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
     # first round: each document with the smallest one on the list of each of its first values
     few = sk.select("doc_id", "n", F.explode(F.slice("sketch", 1, FIRST_VALUES)).alias("value"))
     heads = few.groupBy("value").agg(F.min("doc_id").alias("b"), F.min_by("n", "doc_id").alias("nb"), F.count("*").alias("len")).where("len > 1")
-    pairs = few.join(heads, "value").where(f"doc_id != b and {threshold} * greatest(n, nb) <= 100 * least(n, nb)").select(F.col("doc_id").alias("a"), "b").distinct()
+    pairs = few.join(written(heads), "value").where(f"doc_id != b and {threshold} * greatest(n, nb) <= 100 * least(n, nb)").select(F.col("doc_id").alias("a"), "b").distinct()
     links = _confirmed(written(_likely(written(pairs), sk, threshold)), docs, size, threshold)
     comps = components(links)
 

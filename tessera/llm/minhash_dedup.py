@@ -234,4 +234,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 85) -> Data
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)

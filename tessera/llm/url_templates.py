@@ -1,13 +1,15 @@
 """URL filters: a tree of path templates per host, in DataFrame functions only.
 
-Per host, path segments that look generated become wildcards at once; then, level by level from the root, a node with too
-many children gives its rare ones to a wildcard, and sibling branches whose labelled share of bad pages does not differ
-from their siblings' by more than chance merge into it. A template is rejected if its smoothed share of bad labelled
+Per host, path segments that look generated become wildcards at once; then, level by level from the root down to the
+longest path, sibling branches whose labelled share of bad pages does not differ from their siblings' by more than chance
+(or that have no labels) merge into a wildcard, however many they are. A template is rejected if its smoothed share of bad labelled
 pages is too high. Rules by host and path prefix come before templates; the longest that fits wins.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,8 @@ from tessera.llm.common import table, written
 
 #: (host and path prefix, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Levels that the tree tells apart; what lies deeper is one wildcard.
+#: Only in the SQL, which cuts deeper paths and merges the rare ones of more than CHILDREN children; the operator does neither.
 LEVELS = 4
-#: A node's children, and the share of its pages from which one stays literal when there are more.
 CHILDREN, SHARE = 24, 0.05
 #: Standard errors that a branch's bad share may lie from its siblings' and still merge with them.
 ALIKE = 2.0
@@ -47,31 +48,37 @@ def fitting(rules: tuple, host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The path's non-empty segments, generated ones as wildcards (with their extension), those past LEVELS as one."""
+    """The path's non-empty segments, generated ones as wildcards (with their extension)."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.transform(parts, lambda s: F.when(s.rlike(GENERATED), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda s: F.when(s.rlike(GENERATED), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, parts, template, labelled, bad, impurity, verdict. pages: host, parts, label (1 bad, 0 good, null unknown).
 
     All steps run on counts for each distinct (host, parts), however many pages share them."""
-    tree = pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    tree = written(tree.withColumn("template", F.lit("")))
-    for d in range(1, LEVELS + 2):
-        here = F.when(F.size("parts") >= d, F.get("parts", F.lit(d - 1)))
-        tree = tree.withColumn("seg", here)
-        inner = tree.where("seg is not null")
-        child = inner.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all"), F.sum("seen").alias("seen_all"), F.sum("bad").alias("bad_all"))
+    tree = pages.groupBy("host", "parts").agg(F.count("label").alias("seen"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    tree, done, d = written(tree.withColumn("template", F.lit(""))), [], 1
+    while True:
+        done.append(tree.where(F.size("parts") < d))
+        tree = tree.where(F.size("parts") >= d)
+        if not tree.limit(1).count():
+            break
+        tree = tree.withColumn("seg", F.get("parts", F.lit(d - 1)))
+        child = tree.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("paths").alias("all"), F.sum("seen").alias("seen_all"), F.sum("bad").alias("bad_all"))
         rate = F.try_divide("bad_all", "seen_all")
         spread = F.sqrt(F.col("seen") * rate * (1 - rate))
         alike = F.abs(F.col("bad") - F.col("seen") * rate) <= ALIKE * spread
-        wild = (F.col("kids") > 1) & (((F.col("kids") > CHILDREN) & (F.col("n") < SHARE * F.col("all"))) | F.coalesce(alike, F.lit(True)))
-        child = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(wild & ~F.col("seg").startswith("*"), F.lit("*")).otherwise(F.col("seg")).alias("to"))
-        tree = tree.join(child, ["host", "template", "seg"], "left")
-        tree = written(tree.withColumn("template", F.when(F.col("to").isNotNull(), F.concat("template", F.lit("/"), "to")).otherwise(F.col("template"))).drop("seg", "to"))
+        wild = (F.col("kids") > 1) & F.coalesce(alike, F.lit(True))
+        child = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(wild & ~F.col("seg").startswith("*"), F.lit("*")).otherwise(F.col("seg")).alias("to"), (F.col("all") == 1).alias("alone"))
+        # a path that is alone in its node has no siblings further down: its other segments stay as they are
+        to = F.when(F.col("alone"), F.array_join(F.slice("parts", d, F.size("parts")), "/")).otherwise(F.col("to"))
+        tree = tree.join(child, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), to))
+        tree = written(tree.drop("seg", "to"))
+        done.append(tree.where("alone").drop("alone"))
+        tree, d = tree.where("not alone").drop("alone"), d + 1
+    tree = reduce(DataFrame.unionByName, done)
     whole = tree.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("seen")), F.lit(0.0))).first()[0]
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("host_bad"), F.sum("seen").alias("host_seen"))
     share = tree.groupBy("host", "template").agg(F.sum("seen").alias("labelled"), F.sum("bad").alias("bad_pages")).join(hosts, "host")

@@ -46,6 +46,14 @@ def missing_works(c: Catalogue) -> DataFrame:
     return research.missing_works(have, works, 0.999)
 
 
+@query()
+def missing_works_all(c: Catalogue) -> DataFrame:
+    """The same over the works of all items and by similarity (no SQL for it: tested against difflib). Members are the items of more than 25, as above."""
+    have = c.items.where("size > 25").select("series", F.col("series").alias("author"), "title")
+    works = c.items.select(F.col("series").alias("author"), "title").distinct()
+    return research.missing_works(have, works, 0.85)
+
+
 @query(over("recs_ items", """SELECT grade, count(*) AS n FROM (SELECT CASE WHEN 1990 + rec_id % 9 < year(at_) - 1 THEN 'rejected' WHEN rec_id % 2 = 0 AND rec_id % 3 = 0 THEN CASE WHEN person % 7 >= 5 THEN 'medium' ELSE 'strong' END WHEN rec_id % 2 = 0 OR rec_id % 5 = 0 THEN CASE WHEN person % 7 >= 5 THEN 'weak' ELSE 'medium' END ELSE 'weak' END AS grade FROM recs_) GROUP BY grade"""))
 def source_grades(c: Catalogue) -> DataFrame:
     """Grades of sources by whose they are, what they say, how often they are cited and when they are from."""

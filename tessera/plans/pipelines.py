@@ -97,6 +97,22 @@ def list_consolidation(c: Catalogue) -> DataFrame:
     return had.join(moved, "kept", "left").select("kept", "had", F.coalesce("moved", F.lit(0)).alias("moved"), (F.col("had") + F.coalesce("moved", F.lit(0))).alias("now"))
 
 
+@query(over("lists list_members", """, best AS (SELECT nation, arg_min(id, (-quality, id)) AS kept FROM lists GROUP BY nation),
+pair AS (SELECT kept, id AS retired FROM lists JOIN best USING (nation) WHERE id <> kept),
+m AS (SELECT DISTINCT kept, item FROM pair JOIN list_members ON list = retired WHERE NOT EXISTS (SELECT 1 FROM list_members l WHERE l.list = kept AND l.item = list_members.item)),
+g AS (SELECT kept, count(*) AS moved FROM m GROUP BY kept)
+SELECT p.kept, n AS had, coalesce(moved, 0) AS moved, n + coalesce(moved, 0) AS now FROM (SELECT DISTINCT kept FROM pair) p JOIN lists ON id = p.kept LEFT JOIN g ON g.kept = p.kept"""))
+def list_consolidation_all(c: Catalogue) -> DataFrame:
+    """The same for all lists: of the lists of one nation the one of best quality (then least id) stays and the others retire into it; an item moves once."""
+    lists = c.lists.select("id", "nation", "quality", "n")
+    best = lists.groupBy("nation").agg(F.min_by("id", F.struct(-F.col("quality"), "id")).alias("kept"))
+    pair = lists.join(best, "nation").where("id != kept").select("kept", F.col("id").alias("retired"))
+    gone = c.list_members.join(pair, F.col("list") == F.col("retired")).select(F.col("kept").alias("list"), "item").distinct()
+    moved = gone.join(c.list_members, ["list", "item"], "left_anti").groupBy(F.col("list").alias("kept")).agg(F.count("*").alias("moved"))
+    had = lists.join(pair.select(F.col("kept").alias("id")).distinct(), "id").select(F.col("id").alias("kept"), F.col("n").alias("had"))
+    return had.join(moved, "kept", "left").select("kept", "had", F.coalesce("moved", F.lit(0)).alias("moved"), (F.col("had") + F.coalesce("moved", F.lit(0))).alias("now"))
+
+
 @query(over("counted", """, p AS (SELECT id, title, row_number() OVER (ORDER BY recs DESC, id) AS n FROM counted WHERE recs >= 40),
 b AS (SELECT id, title, CASE WHEN n <= 10 THEN 0 ELSE 1 + (n - 11) // 50 END AS batch FROM p)
 SELECT batch::INTEGER AS batch, count(*) AS n, md5(string_agg(title, '|' ORDER BY id)) AS checksum FROM b GROUP BY batch"""))

@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset on one machine (tests), a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,13 +40,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here and lost executors cost nothing. It is deleted when the session ends."""
+def written(df: DataFrame, compression: str = "zstd", **options: str) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends here and lost executors cost nothing. It is deleted by drop() or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch__ = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that follows from them is written itself."""
+    for t in tables:
+        if path := getattr(t, "scratch__", None):
+            _delete(t.sparkSession, path)
 
 
 #: Rows of a table of ids up to which it is sent to every task.

@@ -3,7 +3,8 @@
 Every document's ids (and an end id) are cut into chunks where a rolling hash of the last ids says so, so equal passages
 give equal chunks; each distinct chunk is stored once under its digest. A recipe lists a document's digests and carries
 the Merkle root over them; recipes lie in ascending doc_id order, and manifest rows carry the Merkle root of each run of
-recipes. Reading back recomputes each stored chunk's digest and each document's root.
+recipes. Reading back recomputes each stored chunk's digest, each document's root and each run's; a chunk, a recipe or a
+run that is lost, altered or moved raises.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain as _chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, running_totals, sent, steps, table, written
+from tessera.llm.common import bytes_of, drop, running_totals, sent, steps, table, written
 from tessera.llm.words import SPACE, Known, mix, powers
 
 END = 0
@@ -32,7 +34,6 @@ CHAIN, CALL = 500, 200
 _MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,;:!?%$&*#")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-_GEAR = mix(np.arange(1, 1 << 16 | 1, dtype=np.uint64))
 _encoders: dict[str, "_Encoder"] = {}
 
 
@@ -55,6 +56,8 @@ class _Encoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.sizes[i] = len(piece)
+        if len(self.sizes) > 1 << 16:
+            raise ValueError(f"ids are stored in 16 bits; {path} has ids up to {len(self.sizes) - 1}")
         self.known = Known()
         self.clear()
 
@@ -124,35 +127,31 @@ class _Encoder:
 
     def _learn(self, data, begins, lengths, regular, off) -> np.ndarray:
         """Encodes the pieces and returns their rows."""
-        last = set((off[1:][np.diff(off) > 0]).tolist())  # pieces at a document's end may close with white space
-        raw = data.tobytes()
-        row, found, ends = sum(map(len, self.ends)) - 1, [], []
-        alone, chain = [], []
-        for k, (b, n, r) in enumerate(zip(begins.tolist(), lengths.tolist(), regular.tolist(), strict=True)):
-            (chain if r and b + n not in last else alone).append((k, raw[b : b + n]))
+        raw, stops = data.tobytes(), begins + lengths
+        chained = regular & ~np.isin(stops, off[1:])  # pieces at a document's end may close with white space
+        chain, alone = np.flatnonzero(chained), np.flatnonzero(~chained)
         parts = [chain[at : at + CHAIN] for at in range(0, len(chain), CHAIN)]
-        texts = [b"".join(p for _, p in part).decode() for part in parts] + [p.decode() for _, p in alone]
-        codes = (c for i in range(0, len(texts), CALL) for c in self.library.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False))
-        for part, code in zip(parts + [[x] for x in alone], codes, strict=True):
-            ids = np.array(code.ids, np.int64)
-            if len(part) == 1:
-                stops = np.array([len(ids)])
-            else:
-                stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for _, p in part])) + 1
-                assert len(ids) == stops[-1]
-            found.append(ids)
-            ends.append((np.array([k for k, _ in part]), np.diff(stops, prepend=0)))
-        counts = np.concatenate([c for _, c in ends])
+        texts = [b"".join(raw[b:e] for b, e in zip(begins[k].tolist(), stops[k].tolist(), strict=True)).decode() for k in parts]
+        texts += [raw[b:e].decode() for b, e in zip(begins[alone].tolist(), stops[alone].tolist(), strict=True)]
+        codes = [c.ids for i in range(0, len(texts), CALL) for c in self.library.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False)]
+        counts = []
+        for k, code in zip(parts, codes, strict=False):
+            # of pieces in a row, each has the ids that its bytes take
+            last = np.searchsorted(np.cumsum(self.sizes[code]), np.cumsum(lengths[k])) + 1
+            assert len(code) == last[-1]
+            counts.append(np.diff(last, prepend=0))
+        counts.append(np.array([len(c) for c in codes[len(parts) :]], np.int64))
+        ids = np.fromiter(_chain.from_iterable(codes), np.uint16)
         rows = np.empty(len(begins), np.int64)
-        rows[np.concatenate([k for k, _ in ends])] = row + np.arange(len(begins))
-        self.ids.append(np.concatenate(found).astype(np.uint16))
-        self.ends.append(int(sum(map(len, self.ids[:-1]))) + np.cumsum(counts))
+        rows[np.concatenate([chain, alone])] = sum(map(len, self.ends)) - 1 + np.arange(len(begins))
+        self.ends.append(sum(map(len, self.ids)) + np.cumsum(np.concatenate(counts)))
+        self.ids.append(ids)
         return rows
 
 
 def _cuts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Ends of chunks: where the rolling hash's top bits are zero, at each document's end, and every MOST ids."""
-    gear, rolled = _GEAR[ids], np.zeros(len(ids), np.uint64)
+    gear, rolled = mix(ids.astype(np.uint64) + np.uint64(1)), np.zeros(len(ids), np.uint64)
     for j in range(min(WINDOW, len(ids))):
         rolled[j:] += gear[: len(ids) - j] << np.uint64(j)
     cut = (mix(rolled) >> np.uint64(64 - BITS)) == 0
@@ -207,18 +206,63 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 @dataclass
 class Store:
     chunks: DataFrame  # address, ids (binary): one row for each distinct chunk
-    recipes: DataFrame  # doc_id, start, n_tokens, root, addresses: ascending doc_id
-    manifest: DataFrame  # first_doc, last_doc, docs, tokens, root
+    recipes: DataFrame  # run, doc_id, start, n_tokens, root, addresses: ascending doc_id
+    manifest: DataFrame  # run, start, docs, tokens, root, runs (how many there are): one row for each run of recipes
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Recipes of a run at most.
+RUN = 10_000
+
+
+def _recipe_digest(doc_id: int | None, start: int, n_tokens: int, root: bytes) -> bytes:
+    return hashlib.blake2b(repr((doc_id, start, n_tokens)).encode() + root, digest_size=16).digest()
+
+
+def _with_runs(recipes: DataFrame) -> DataFrame:
+    """Adds run: rows that follow each other in one task, RUN of them at most, have one number."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        done, first = 0, TaskContext.get().partitionId() << 32
         for b in batches:
-            if b.num_rows:
-                ids = b.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_pydict({"first_doc": [ids[0]], "last_doc": [ids[-1]], "docs": [len(ids)], "tokens": [sum(b.column("n_tokens").to_pylist())], "root": [merkle(b.column("root").to_pylist())]})
+            yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(done, done + b.num_rows) // RUN), *b.columns], ["run", *b.schema.names])
+            done += b.num_rows
+
+    return recipes.mapInArrow(number, "run bigint, doc_id bigint, start bigint, n_tokens bigint, root binary, addresses array<binary>")
 
-    return recipes.select("doc_id", "n_tokens", "root").mapInArrow(run, "first_doc bigint, last_doc bigint, docs bigint, tokens bigint, root binary")
+
+def _runs(recipes: DataFrame) -> DataFrame:
+    """run, start, docs, tokens, root of each run, from its recipes; a gap or an overlap inside a run raises."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for run, rows in zip(b.column("run").to_pylist(), b.column("rows").to_pylist(), strict=True):
+                rows = [(r["doc_id"], r["start"], r["n_tokens"], r["root"]) for r in rows]
+                if any(x[1] + x[2] != y[1] for x, y in zip(rows, rows[1:])):
+                    raise ValueError(f"the recipes of run {run} do not follow each other")
+                out.append((run, rows[0][1], len(rows), sum(r[2] for r in rows), merkle([_recipe_digest(*r) for r in rows])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["run", "start", "docs", "tokens", "root"])
+
+    # a group is a run: RUN rows of some 50 bytes at most
+    rows = recipes.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("start", "doc_id", "n_tokens", "root"))).alias("rows"))
+    return rows.mapInArrow(read, "run bigint, start bigint, docs bigint, tokens bigint, root binary")
+
+
+def check_manifest(store: Store) -> None:
+    """Raises if a run of recipes is not what the manifest says, or if runs do not follow each other from 0 on."""
+    kept, found = store.manifest, _runs(store.recipes)
+    both = kept.join(found.select("run", *[F.col(c).alias(f"{c}__") for c in ("start", "docs", "tokens", "root")]), "run", "full")
+    off = both.where(" or ".join(f"not ({c} <=> {c}__)" for c in ("start", "docs", "tokens", "root"))).select("run").limit(1).collect()
+    if off:
+        raise ValueError(f"run {off[0].run} of recipes does not fit its root and counts in the manifest")
+    ends = kept.select((F.col("start") + F.col("tokens")).alias("start"))
+    lost = ends.join(kept.select("start"), "start", "left_anti").limit(2).count(), kept.where("start = 0").limit(2).count()
+    many = kept.agg(F.count("*").alias("n"), F.min("runs").alias("lo"), F.max("runs").alias("hi")).first()
+    if many.n and (lost != (1, 1) or many.lo != many.n or many.hi != many.n):
+        raise ValueError("runs of the manifest do not follow each other")
 
 
 def write_store(docs: DataFrame, path: str | None = None) -> Store:
@@ -233,13 +277,18 @@ def write_store(docs: DataFrame, path: str | None = None) -> Store:
     extra = written(each.join(repeated, "address").where("struct(uid, seq) != owner").select("uid", "seq"))
     chunks = all_.select("uid", F.posexplode(F.arrays_zip("addresses", "chunks")).alias("seq", "x")).select("uid", "seq", F.col("x.addresses").alias("address"), F.col("x.chunks").alias("ids"))
     chunks = written(chunks.join(sent(extra), ["uid", "seq"], "left_anti").select("address", "ids"))
-    recipes = written(running_totals(all_.select("doc_id", "n_tokens", "root", "addresses"), "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens", "root", "addresses"))
-    return Store(chunks, recipes, written(_manifest(recipes)))
+    drop(repeated, extra)
+    recipes = running_totals(all_.select("doc_id", "n_tokens", "root", "addresses"), "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens", "root", "addresses")
+    recipes = written(_with_runs(recipes))
+    drop(all_)
+    runs = written(_runs(recipes))
+    return Store(chunks, recipes, written(runs.withColumn("runs", F.lit(runs.count()))))
 
 
 def read_ids(store: Store) -> DataFrame:
-    """doc_id, ids array<int>: documents put together again from recipes and chunks."""
-    parts = store.recipes.select("doc_id", "start", F.posexplode("addresses").alias("seq", "address")).join(store.chunks, "address")
+    """doc_id, ids array<int>: documents put together again from recipes and chunks. A chunk that is not there raises."""
+    parts = store.recipes.select("doc_id", "start", F.posexplode("addresses").alias("seq", "address")).join(store.chunks, "address", "left")
+    parts = parts.withColumn("ids", F.coalesce("ids", F.raise_error(F.lit("a recipe names a chunk that is not stored")).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,7 +347,8 @@ def joined_crc(crcs: np.ndarray, sizes: np.ndarray, cut: np.ndarray) -> np.ndarr
 
 def verified(store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files: each stored chunk is read, its digest recomputed and its ids' CRC-32
-    taken; a document's CRC-32 follows from its chunks'. A chunk, root or length that does not fit raises."""
+    taken; a document's CRC-32 follows from its chunks'. A chunk, recipe or run that is lost or does not fit raises."""
+    check_manifest(store)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,6 +363,8 @@ def verified(store: Store) -> DataFrame:
             parts = b.column("parts")
             flat, cut = parts.flatten(), parts.offsets.to_numpy()
             cut = cut - cut[0]
+            if flat.field("crc").null_count:
+                raise ValueError("a recipe names a chunk that is not stored")
             crcs, n, names = flat.field("crc").to_numpy().astype(np.uint32), flat.field("n").to_numpy(), flat.field("address").to_pylist()
             if [merkle(names[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)] != b.column("root").to_pylist():
                 raise ValueError("a recipe's chunks do not have its root")
@@ -322,7 +374,7 @@ def verified(store: Store) -> DataFrame:
 
     sums = store.chunks.mapInArrow(check, "address binary, crc bigint, n bigint")
     # a document's first place names it: each has one id at least
-    parts = store.recipes.select("start", F.posexplode("addresses").alias("seq", "address")).join(sums, "address")
+    parts = store.recipes.select("start", F.posexplode("addresses").alias("seq", "address")).join(sums, "address", "left")
     parts = parts.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "crc", "n"))).alias("parts"))
     whole = store.recipes.select("doc_id", "start", "n_tokens", "root").join(parts, "start").select("doc_id", "start", "n_tokens", "root", "parts")
     return whole.mapInArrow(join, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -98,13 +98,12 @@ class Known:
         return out
 
     def add(self, hashes: np.ndarray, rows: np.ndarray) -> None:
-        """Hashes that are not remembered yet."""
+        """Hashes that are not remembered yet, ascending."""
         self.new = self._merged(self.new, (hashes, rows))
         if len(self.new[0]) > self.RECENT:
             self.old, self.new = self._merged(self.old, self.new), (np.empty(0, np.uint64), np.empty(0, np.int64))
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-        keys, rows = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], rows[order]
+        at = np.searchsorted(a[0], b[0])  # both are sorted: no sort of the whole
+        return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])

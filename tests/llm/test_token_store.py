@@ -67,6 +67,43 @@ def test_damage_is_found(docs):
         ts.verified(swapped).collect()
 
 
+def test_loss_is_found(docs):
+    store = ts.write_store(docs([(i, f"text number {i} " * i) for i in range(1, 6)]))
+    lost = store.chunks.where(F.col("address") != F.lit(store.chunks.first().address))
+    for damaged in (
+        ts.Store(lost, store.recipes, store.manifest),
+        ts.Store(store.chunks, store.recipes.where("doc_id != 5"), store.manifest),
+        ts.Store(store.chunks, store.recipes.where("doc_id != 2"), store.manifest),
+        ts.Store(store.chunks, store.recipes.where("run = -1"), store.manifest),
+        ts.Store(store.chunks, store.recipes.withColumn("doc_id", 6 - F.col("doc_id")), store.manifest),
+        ts.Store(store.chunks, store.recipes.withColumn("start", F.col("start") + 1), store.manifest),
+        ts.Store(store.chunks, store.recipes, store.manifest.withColumn("tokens", F.col("tokens") + 1)),
+    ):
+        with pytest.raises(Exception, match="not stored|manifest|follow"):
+            ts.verified(damaged).collect()
+    with pytest.raises(Exception, match="not stored"):
+        ts.read_ids(ts.Store(lost, store.recipes, store.manifest)).collect()
+
+
+def test_a_run_that_is_lost_is_found(docs, monkeypatch):
+    monkeypatch.setattr(ts, "RUN", 2)
+    store = ts.write_store(docs([(i, f"text {i}") for i in range(9)]).coalesce(1))
+    assert store.manifest.count() >= 5 and ts.verified(store).count() == 9
+    for run in [r.run for r in store.manifest.collect()]:
+        keep = F.col("run") != run
+        with pytest.raises(Exception, match="follow|manifest"):
+            ts.verified(ts.Store(store.chunks, store.recipes.where(keep), store.manifest.where(keep))).collect()
+
+
+def test_wide_ids_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    wide = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    wide.save(str(tmp_path / "wide.json"))
+    with pytest.raises(ValueError, match="16 bits"):
+        ts._Encoder(str(tmp_path / "wide.json"))
+
+
 def test_odd_rows(odd, docs):
     got = ts.verified(ts.write_store(odd)).orderBy("start").collect()
     assert len(got) == 9 and got[0].doc_id is None and got[0].start == 0

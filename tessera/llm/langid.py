@@ -22,12 +22,14 @@ from tessera.llm.words import Known, mix, words
 #: Labelled documents of each language that the fit may use; they are those with the smallest hashes of doc_id.
 FIT_DOCS = 4_000
 ROUNDS = 3
-#: Letters of a piece at most; a longer run of letters than RUN is scored as several words.
-PIECE, RUN = 8, 30
+#: Longer runs of letters than this teach as several words (scoring takes them whole, rescaled every RESCALE letters).
+RUN, RESCALE = 30, 16
+#: Places of a lattice (rows x letters) that are held at once.
+PLACES = 1 << 18
 #: Added to each expected count, so that no piece is impossible.
 SMOOTH = 0.05
 REMEMBERED = 500_000
-_BASES = np.array([mix(np.array([i + 1], np.uint64))[0] | np.uint64(1) for i in range(PIECE)], np.uint64)
+_BASES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _MASK = np.uint64((1 << 22) - 1)
 _models: dict[str, "_Scorer"] = {}
 
@@ -39,97 +41,128 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def pieces(path: str) -> list[str]:
-    """Lower-case letter pieces of a sentencepiece vocabulary, a word's begin marked by a space, and all their letters."""
+    """All lower-case letter pieces of a sentencepiece vocabulary, a word's begin marked by a space, and all their letters."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", " ").lower() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i)}
-    found = {p for p in found if len(p) <= PIECE and p.lstrip(" ").isalpha() and p.rfind(" ") <= 0}
+    found = {p for p in found if p.lstrip(" ").isalpha() and p.rfind(" ") <= 0}
     return sorted(found | {c for p in found for c in p} | {" "})
 
 
-def clean(word: bytes) -> list[str]:
-    """A word's runs of letters joined, lower-case, with a mark for its begin; cut if very long; none without letters."""
+def clean(word: bytes, most: int | None = RUN) -> list[str]:
+    """A word's runs of letters joined, lower-case, with a mark for its begin, cut into `most` letters each (None: as one string);
+    none without letters."""
     text = word.decode("utf-8", "replace").lower()
     if not text.isalpha():
         text = "".join(c for c in text if c.isalpha())
-    return [(" " if i == 0 else "") + text[i : i + RUN] for i in range(0, len(text), RUN)]
+    return [(" " if i == 0 else "") + text[i : i + most] for i in range(0, len(text), most)] if most else [" " + text] * bool(text)
 
 
 class _Scorer:
-    def __init__(self, hashes: np.ndarray, probs: np.ndarray):
-        """hashes: sorted, of the vocabulary; probs: (vocabulary + unknown letter + none, languages)."""
-        self.hashes, self.probs = hashes, probs
+    def __init__(self, hashes: np.ndarray, probs: np.ndarray, longest: int = 32):
+        """hashes: sorted, of the vocabulary; probs: (vocabulary + unknown letter + none, languages); longest: letters of a piece at most."""
+        self.hashes, self.probs, self.longest = hashes, probs, longest
         self.maybe = np.zeros(int(_MASK) + 1, bool)
         self.maybe[(hashes & _MASK).astype(np.int64)] = True
         self.known = Known()
         self.scores: list[np.ndarray] = []
 
-    def _lattice(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids by row, begin and length, and the rows' lengths."""
-        sizes = np.array([len(r) for r in runs])
-        top = int(sizes.max())
-        letters = np.zeros((len(runs), top), np.uint64)
-        letters[np.arange(top)[None, :] < sizes[:, None]] = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
-        none = len(self.probs) - 1
-        ids = np.full((PIECE, len(runs), top), none, np.int32)
-        sums = np.zeros((len(runs), top), np.uint64)
-        for k in range(min(PIECE, top)):
-            room = top - k
-            sums = sums[:, :room] + letters[:, k:] * _BASES[k]
-            at = np.flatnonzero(self.maybe[(sums & _MASK).astype(np.int64)] & (np.arange(room)[None, :] + k < sizes[:, None]))
+    def _lattice(self, letters: np.ndarray, begins: int) -> np.ndarray:
+        """Piece ids (length - 1, row, begin) of the first `begins` places of letters (rows, places; 0 past a row's end)."""
+        rows, top, none = len(letters), letters.shape[1], len(self.probs) - 1
+        ids = np.full((min(self.longest, top), rows, begins), none, np.int32)
+        sums = np.zeros((rows, begins), np.uint64)
+        for k in range(len(ids)):
+            room = min(begins, top - k)
+            sums = sums[:, :room] + letters[:, k : k + room] * _BASES[k]
+            at = np.flatnonzero(self.maybe[(sums & _MASK).astype(np.int64)] & (letters[:, k : k + room] > 0))
             h = sums.ravel()[at]
             pos = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             ok = self.hashes[pos] == h
             at, pos = at[ok], pos[ok]
             ids[k, at // room, at % room] = pos
             if k == 0:
-                gap = (ids[0] == none) & (np.arange(top)[None, :] < sizes[:, None])
-                ids[0][gap] = none - 1  # an unknown letter
-        return ids, sizes
+                ids[0][(ids[0] == none) & (letters[:, :room] > 0)] = none - 1  # an unknown letter
+        return ids
+
+    @staticmethod
+    def _letters(runs: list[str], sizes: np.ndarray) -> np.ndarray:
+        letters = np.zeros((len(runs), int(sizes.max())), np.uint64)
+        letters[np.arange(letters.shape[1])[None, :] < sizes[:, None]] = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)
+        return letters
 
-    def forward(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def forward(self, ids: np.ndarray) -> np.ndarray:
         """(begin, row, language): the probability of the letters before each begin."""
         n, top, langs = ids.shape[1], ids.shape[2], self.probs.shape[1]
         alpha = np.zeros((top + 1, n, langs))
         alpha[0] = 1
         for j in range(1, top + 1):
-            for k in range(min(PIECE, j)):
+            for k in range(min(len(ids), j)):
                 piece = ids[k, :, j - k - 1]
                 if (piece != len(self.probs) - 1).any():
                     alpha[j] += alpha[j - k - 1] * self.probs[piece]
         return alpha
 
     def _by_length(self, runs: list[str]) -> Iterator[np.ndarray]:
+        """Rows of one length, or of nearly one where they are long, in slices of about PLACES letters."""
         sizes = np.array([len(r) for r in runs])
         order = np.argsort(sizes, kind="stable")
-        cut = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+        kind = np.where(sizes <= RUN + 1, sizes, RUN + 1 + np.ceil(8 * np.log2(np.maximum(sizes, RUN + 1) / (RUN + 1))).astype(np.int64))
+        cut = np.flatnonzero(np.diff(kind[order], prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(runs)], strict=True):
-            for x in range(a, b, 8192):
-                yield order[x : min(x + 8192, b)]
+            step = max(1, min(8192, PLACES // int(sizes[order[b - 1]])))
+            for x in range(a, b, step):
+                yield order[x : min(x + step, b)]
 
     def logs(self, runs: list[str]) -> np.ndarray:
-        out = np.zeros((len(runs), self.probs.shape[1]))
+        """Log-probabilities (runs, languages): a forward pass over each whole run, however long. Only the places that a piece
+        can still reach are held, and they are rescaled now and then."""
+        langs, none = self.probs.shape[1], len(self.probs) - 1
+        out = np.zeros((len(runs), langs))
         for rows in self._by_length(runs):
-            ids, sizes = self._lattice([runs[i] for i in rows])
-            out[rows] = np.log(self.forward(ids, sizes)[-1] + 1e-300)
+            sizes = np.array([len(runs[i]) for i in rows])
+            letters, ring = self._letters([runs[i] for i in rows], sizes), self.longest + 1
+            open_, scale = np.zeros((ring, len(rows), langs)), np.zeros((len(rows), langs))
+            open_[0] = 1
+            top, same = letters.shape[1], (sizes == sizes[0]).all()
+            block = max(64, PLACES // len(rows))
+            for j in range(top + 1):
+                if j % block == 0 and j < top:
+                    ids = self._lattice(letters[:, j : j + block + self.longest - 1], min(block, top - j))
+                here = open_[j % ring]
+                done = slice(None) if same and j == top else np.flatnonzero(sizes == j) if not same else []
+                if same and j == top or not same and len(done):
+                    out[rows[done]] = np.log(here[done] + 1e-300) + scale[done]
+                if j < top:
+                    for k in range(len(ids)):
+                        piece = ids[k, :, j % block]
+                        if (piece != none).any():
+                            open_[(j + k + 1) % ring] += here * self.probs[piece]
+                    here[:] = 0
+                    if j % RESCALE == RESCALE - 1:
+                        most = open_.max(axis=0)
+                        most[most <= 0] = 1
+                        open_ /= most
+                        scale += np.log(most)
         return out
 
     def expected(self, runs: list[str], lang: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected piece counts (pieces, languages) of words of known language: one E step."""
+        """Expected piece counts (pieces, languages) of words of known language, RUN letters long at most: one E step."""
         counts = np.zeros_like(self.probs)
         for rows in self._by_length(runs):
-            ids, sizes = self._lattice([runs[i] for i in rows])
+            sizes = np.array([len(runs[i]) for i in rows])
+            ids = self._lattice(self._letters([runs[i] for i in rows], sizes), int(sizes.max()))
             top, n, of = ids.shape[2], np.arange(len(rows)), lang[rows]
-            alpha = self.forward(ids, sizes)[:, n, of]
+            alpha = self.forward(ids)[:, n, of]
             beta = np.zeros((top + 1, len(rows)))
             beta[top] = 1
             for i in range(top - 1, -1, -1):
-                for k in range(min(PIECE, top - i)):
+                for k in range(min(len(ids), top - i)):
                     beta[i] += self.probs[ids[k, :, i], of] * beta[i + k + 1]
             scale = weight[rows] / np.maximum(alpha[top], 1e-300)
             for i in range(top):
-                for k in range(min(PIECE, top - i)):
+                for k in range(min(len(ids), top - i)):
                     np.add.at(counts, (ids[k, :, i], of), alpha[i] * self.probs[ids[k, :, i], of] * beta[i + k + 1] * scale)
         counts[-1] = 0
         return counts
@@ -150,7 +183,7 @@ class _Scorer:
         new = np.flatnonzero(rows < 0)
         if len(new):
             raw = bytes_of(column)[0].tobytes()
-            runs = [clean(raw[starts[at[i]] : ends[at[i]]]) for i in new]
+            runs = [clean(raw[starts[at[i]] : ends[at[i]]], None) for i in new]
             flat = [r for x in runs for r in x]
             logs = self.logs(flat) if flat else np.zeros((0, langs))
             own = np.zeros((len(new), langs + 1))
@@ -203,9 +236,10 @@ def fit(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
     labelled = labelled.where("lang is not null and text is not null")
     per = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     langs = sorted(per)
-    hashes, _ = _hashes(pieces(path or vocabulary_path()))
+    vocab = pieces(path or vocabulary_path())
+    (hashes, _), longest = _hashes(vocab), max(map(len, vocab))
     if not langs:
-        return {"id": uuid.uuid4().hex, "langs": [], "hashes": hashes, "probs": np.zeros((len(hashes) + 2, 0))}
+        return {"id": uuid.uuid4().hex, "langs": [], "hashes": hashes, "longest": longest, "probs": np.zeros((len(hashes) + 2, 0))}
     share = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, fit_docs / per[l]))])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
     counted = written(_counted(sample))
@@ -213,7 +247,7 @@ def fit(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
     probs = np.full((len(hashes) + 2, len(langs)), 1 / len(hashes))
     probs[-2], probs[-1] = 1e-6, 0
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((hashes, probs))
+        sent = spark.sparkContext.broadcast((hashes, probs, longest))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer, total = _Scorer(*sent.value), 0
@@ -229,7 +263,7 @@ def fit(labelled: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS,
         counts[found.piece.to_numpy(), found.lang.to_numpy()] = np.round(found.c.to_numpy(), 6)
         counts[:-1] += SMOOTH
         probs = counts / counts.sum(axis=0)
-    return {"id": uuid.uuid4().hex, "langs": langs, "hashes": hashes, "probs": probs}
+    return {"id": uuid.uuid4().hex, "langs": langs, "hashes": hashes, "longest": longest, "probs": probs}
 
 
 def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -244,7 +278,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str] | None = None, names:
         m = sent.value
         if m["id"] not in _models:
             _models.clear()
-            _models[m["id"]] = _Scorer(m["hashes"], m["probs"])
+            _models[m["id"]] = _Scorer(m["hashes"], m["probs"], m["longest"])
         scorer, known = _models[m["id"]], [*m["langs"], "und"]
         for batch in steps(batches, "text__"):
             if m["langs"]:

@@ -32,6 +32,30 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(m.logs(words)[:, 0]), [brute(w, probs) for w in words], rtol=1e-9)
 
 
+def test_long_runs_are_whole_and_long_pieces_count():
+    probs = {" ": 0.1, " a": 0.2, "ab": 0.05, "a": 0.3, "b": 0.1, "abababababab": 0.2, "c": 0.03}
+    m = model(probs)
+
+    def exact(word):
+        """The log of the sum over all ways to cut, by exact fractions."""
+        from fractions import Fraction
+
+        import math
+
+        alpha = [Fraction(1)] + [Fraction(0)] * len(word)
+        for j in range(1, len(word) + 1):
+            for k in range(1, min(12, j) + 1):
+                p = probs.get(word[j - k : j], 1e-6 if k == 1 else 0)
+                alpha[j] += alpha[j - k] * Fraction(p) if p else 0
+        return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+    words = [" " + "ab" * n for n in (3, 15, 16, 40, 41, 150)] + [" " + "xyz" * 120, " " + "ab" * 20 + "é" * 9]
+    assert np.allclose(m.logs(words)[:, 0], [exact(w) for w in words], rtol=1e-9)
+    assert langid.clean(b"x" * 65, None) == [" " + "x" * 65] and langid.clean(b"1", None) == []
+    vocab = langid.pieces(langid.vocabulary_path())
+    assert max(map(len, vocab)) > 8
+
+
 def test_expected_counts_add_up():
     probs = {" ": 0.2, " a": 0.2, "ab": 0.1, "a": 0.3, "b": 0.2}
     m = model(probs)

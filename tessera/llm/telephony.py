@@ -2,7 +2,7 @@
 
 Payloads are kept byte for byte as the samples of WAV files in one of three telephony codings: mu-law and A-law (expanded
 by lookup tables) and IMA ADPCM (blocks of BLOCK bytes, decoded with numpy across all blocks at once). Decoded sound is
-16-bit PCM, resampled to half the rate by the mean of each two samples.
+16-bit PCM, resampled to half the rate by the mean of each two samples and stored too; features come from the stored sound.
 """
 
 from __future__ import annotations
@@ -114,6 +114,10 @@ def feature(codec: str, sound: np.ndarray) -> str:
     return f"{codec};{len(sound)};{int(np.abs(wide).max(initial=0))};{power};{changes};{zlib.crc32(sound.astype('<i2').tobytes())}"
 
 
+#: Compression of stored media and sound: sound packs less well at the usual level.
+LEVEL = {"parquet.compression.codec.zstd.level": "9"}
+
+
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text's bytes (null: none), padded with 255 to whole blocks, in a coding that the payload's CRC-32 picks."""
 
@@ -127,7 +131,7 @@ def store(docs: DataFrame) -> DataFrame:
             n, media = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary"))
+    return written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary"), **LEVEL)
 
 
 def _sounds(batch: pa.RecordBatch) -> tuple[list[str], list[bytes], list[np.ndarray]]:
@@ -141,29 +145,36 @@ def _sounds(batch: pa.RecordBatch) -> tuple[list[str], list[bytes], list[np.ndar
 
 
 def pcm(media: DataFrame) -> DataFrame:
-    """doc_id, rate, pcm (16-bit little-endian) of stored media: the resampled sound."""
+    """The stored media's resampled sound as a table: doc_id, codec, rate, pcm (16-bit little-endian), and of the media's bytes
+    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "media", 2 << 20):
-            sounds = _sounds(batch)[2]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([RATE // 2] * len(sounds), pa.int32()), pa.array([s.astype("<i2").tobytes() for s in sounds], pa.binary())], ["doc_id", "rate", "pcm"])
+            codecs, payloads, sounds = _sounds(batch)
+            files = batch.column("media").to_pylist()
+            sha = lambda x: pa.array([hashlib.sha256(y).digest() for y in x], pa.binary())
+            columns = [batch.column("doc_id"), pa.array(codecs), pa.array([RATE // 2] * len(files), pa.int32()), pa.array([s.astype("<i2").tobytes() for s in sounds], pa.binary())]
+            columns += [batch.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), sha(payloads), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array([len(f) for f in files], pa.int64()), sha(files)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id bigint, rate int, pcm binary")
+    schema = "doc_id bigint, codec string, rate int, pcm binary, n_bytes bigint, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary"
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema), **LEVEL)
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media, from the stored bytes."""
+    """Digests of stored media, and features of their resampled sound, which is stored and read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "media", 2 << 20):
-            codecs, payloads, sounds = _sounds(batch)
-            files = batch.column("media").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(list(map(feature, codecs, sounds)))], names)
+        for batch in steps(batches, "pcm", 2 << 20):
+            sounds = [np.frombuffer(s, "<i2") for s in batch.column("pcm").to_pylist()]
+            said = pa.array(list(map(feature, batch.column("codec").to_pylist(), sounds)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), said], [*same, "feature"])
 
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return media.mapInArrow(run, schema)
+    same = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    out = pcm(media).mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string")
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat a doc_id each have their own row; a null doc_id stays null."""
     return described(store(table(spark, sf_dir, "documents")))

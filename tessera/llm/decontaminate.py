@@ -15,17 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import steps, table, written
 from tessera.llm.words import SPACE, mix, words
 
 MATCH = 5
 THRESHOLD = 0.8
-#: Benchmark words that one pass sends to every task (about 40 bytes each); a larger benchmark is split over several passes.
+#: Benchmark words up to which its seeds are sent to every task (about 40 bytes each); of a larger benchmark they are shuffled.
 PASS_WORDS = 500_000
 #: Words are what stands between white space, punctuation and control characters; A-Z count as a-z.
 SEPARATOR = SPACE.copy()
 SEPARATOR[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -118,14 +120,17 @@ def _found(docs: DataFrame, part: list[tuple[int, str]], threshold: float) -> Da
                 doc, k = pairs // len(keys), pairs % len(keys)
                 n = first[k + 1] - first[k]
                 post = np.repeat(first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
-                both, where, many = np.unique(np.repeat(doc, n) * len(items) + of[post], return_inverse=True, return_counts=True)
+                both = np.repeat(doc, n) * len(items) + of[post]
+                by = np.argsort(both, kind="stable")
+                both, begin, many = np.unique(both[by], return_index=True, return_counts=True)
                 could = many * size >= threshold * sizes[both % len(items)]
                 for p in np.flatnonzero(could).tolist():
                     d, item = divmod(int(both[p]), len(items))
-                    covered = np.zeros(sizes[item], bool)
-                    for s in place[post[where == p]].tolist():
-                        covered[s : s + size] = True
-                    if covered.sum() >= threshold * sizes[item]:
+                    edge = np.zeros(sizes[item] + 1, np.int64)
+                    starts = place[post[by[begin[p] : begin[p] + many[p]]]]  # of the seeds that this document and this item share
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + size, -1)
+                    if np.count_nonzero(np.cumsum(edge)) >= threshold * sizes[item]:
                         share = float(tile(items[item], hashes[cut[d] : cut[d + 1]], size).mean())
                         if share >= threshold:
                             out.append((d, item, share))
@@ -136,30 +141,88 @@ def _found(docs: DataFrame, part: list[tuple[int, str]], threshold: float) -> Da
     return docs.mapInArrow(run, "doc_id bigint, item_id bigint, coverage double")
 
 
+def _seeds(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """key, words, size, seed: every seed of each row's text, once for each of the seed lengths (an item has its own alone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            hashes, cut, _, _ = words(batch.column("text"), space=SEPARATOR)
+            n = np.diff(cut)
+            for size in sizes or range(1, MATCH + 1):
+                seeds, at = rolling(hashes, size), np.arange(max(0, len(hashes) - size + 1))
+                row = np.searchsorted(cut, at, "right") - 1
+                ok = at + size <= cut[row + 1] if len(at) else np.zeros(0, bool)
+                if not sizes:
+                    ok &= np.minimum(n[row], MATCH) == size
+                row, seeds = row[ok], seeds[ok]
+                if sizes:  # a document's seed counts once
+                    first = np.unique(np.stack([row.astype(np.uint64), seeds]), axis=1, return_index=True)[1] if len(row) else []
+                    row, seeds = row[first], seeds[first]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(n[row], pa.int64()), pa.array(np.full(len(row), size, np.int32)), pa.array(seeds.view(np.int64))], [key, "words", "size", "seed"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} bigint, words bigint, size int, seed bigint")
+
+
+def _found_by_shuffle(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The same for a benchmark of any size: seeds meet by a join, documents are read once for seeds and once for the pairs left.
+
+    A document that an item contaminates shares at least `need` of its seeds, so it shares one of all but the need - 1 most
+    frequent: only those are joined, and a passage that is everywhere brings no pairs. Tiling decides."""
+    items = written(items.distinct().withColumn("item", F.monotonically_increasing_id()))
+    own = written(_seeds(items, "item", []))
+    sizes = [r["size"] for r in own.select("size").distinct().collect()]  # MATCH values at most
+    docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))  # equal rows share one, and others may: pairs are tiled
+    keys = written(own.select("size", "seed").distinct())
+    hits = written(_seeds(docs, "k", sizes).select("k", "size", "seed").join(keys, ["size", "seed"], "left_semi")) if sizes else None
+    if hits is None:
+        return docs.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage")).limit(0)
+    often = written(hits.groupBy("size", "seed").agg(F.count("*").alias("n")))
+    line = Window.partitionBy("item").orderBy("n", "seed")
+    need = F.ceil(F.lit(threshold) * F.col("words") / F.col("size"))
+    rare = own.join(often, ["size", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("at", F.row_number().over(line))
+    rare = written(rare.where(F.col("at") <= F.col("words") - F.col("size") + 2 - need).where("n > 0").select("item", "size", "seed").distinct())
+    pairs = written(hits.join(rare, ["size", "seed"]).select("k", "item").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            sides = [words(batch.column(c), space=SEPARATOR)[:2] for c in ("benchmark__", "text")]
+            share = []
+            for i in range(batch.num_rows):
+                a, b = (h[cut[i] : cut[i + 1]] for h, cut in sides)
+                share.append(float(tile(a, b).mean()))
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(share, pa.float64())], ["doc_id", "item_id", "coverage"])
+            yield out.filter(pa.array(np.array(share) >= threshold))
+
+    both = docs.join(pairs, "k").join(items.withColumnRenamed("text", "benchmark__"), "item")
+    return both.select("doc_id", "text", "item_id", "benchmark__").mapInArrow(run, "doc_id bigint, item_id bigint, coverage double")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, coverage of every document and benchmark item (item_id, text) that it holds.
 
-    Null, blank and wordless texts hold nothing and are held by nothing. Other columns are ignored."""
+    Null, blank and wordless texts hold nothing and are held by nothing. An item shorter than MATCH words must stand in the document
+    as a whole: an item of one word is held by every document with that word. Rows that repeat a doc_id or an item_id are each
+    compared; equal benchmark rows count once. Other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0))).first()[0]
-    passes = int(total // PASS_WORDS) + 1
-    found = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text").toArrow()
-        part = list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True))
-        one = _found(docs, part, threshold)
-        found = one if found is None else found.union(one)
-    return written(found)
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
+    if total > PASS_WORDS:
+        return written(_found_by_shuffle(docs, items, threshold))
+    part = items.distinct().orderBy("item_id", "text").toArrow()  # PASS_WORDS words at most
+    return written(_found(docs, list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)), threshold))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns."""
+    """The documents that hold no benchmark item, with their columns. If one of several rows of a doc_id holds one, all of them go;
+    rows without a doc_id stay."""
     return docs.join(leaks(docs, benchmark, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, contaminated, items (ids of the benchmark items held), coverage (the largest; 0 without any) for every document."""
+    """doc_id, contaminated, items (ids of the benchmark items held), coverage (the largest; 0 without any) for every document.
+
+    Rows that repeat a doc_id are judged together; rows without one are not contaminated."""
     docs = table(spark, sf_dir, "documents")
     per = leaks(docs, table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
     out = docs.select("doc_id").join(per, "doc_id", "left")

@@ -61,6 +61,42 @@ def test_many_passes_give_the_same(spark, docs, monkeypatch):
     assert sorted(map(tuple, d.leaks(docs(texts), bench).collect())) == once and once
 
 
+def naive(item, text):
+    return sum(greedy(item, text, d.MATCH)) / len(item)
+
+
+@pytest.mark.parametrize("by_shuffle", [False, True])
+def test_query_equals_brute_force(spark, docs, monkeypatch, tmp_path, by_shuffle):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    common = prose(12)  # a passage of every item and document
+    items = [common + prose(rng.randrange(3, 14)) for _ in range(8)] + [prose(k) for k in (1, 2, 3, 4, 5, 6)]
+    texts = [common + prose(rng.randrange(0, 25)) for _ in range(30)]
+    for k, item in enumerate(items):
+        at = rng.randrange(1, len(item)) if len(item) > 1 else 0
+        texts += [prose(7) + item + prose(3), prose(2) + item[at:] + prose(2) + item[:at], item[: max(1, 3 * len(item) // 4)]]
+    docs([(i, " ".join(t)) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, ", ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    if by_shuffle:
+        monkeypatch.setattr(d, "PASS_WORDS", 10)
+    got = {r.doc_id: (r.contaminated, r["items"], round(r.coverage, 9)) for r in d.query(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        share = {k: naive(item, t) for k, item in enumerate(items)}
+        held = [k for k, v in share.items() if v >= d.THRESHOLD]
+        assert got[i] == (bool(held), held, round(max((share[k] for k in held), default=0.0), 9)), (i, held, got[i])
+    assert len({v[0] for v in got.values()}) == 2 and len(got) == len(texts)
+
+
+def test_repeated_and_missing_ids(spark, docs, tmp_path):
+    item = " ".join(f"b{k}" for k in range(20))
+    docs([(1, item), (1, "clean text"), (None, item), (2, item), (2, item), (3, "clean")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.contaminated) for r in d.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(1, True), (1, True), (2, True), (2, True), (3, False), (None, False)], key=str)
+    rest = d.decontaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert sorted((r.doc_id or 0) for r in rest.collect()) == [0, 3]
+
+
 def test_empty(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert d.leaks(docs([(1, "a b c d e f")]), none).count() == 0 and d.leaks(docs([]), none).count() == 0

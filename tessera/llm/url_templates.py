@@ -1,9 +1,11 @@
 """URL filters: a tree of path templates per host, in DataFrame functions only.
 
 Per host, path segments that look generated become wildcards at once; then, level by level from the root down to the
-longest path, sibling branches whose labelled share of bad pages does not differ from their siblings' by more than chance
-(or that have no labels) merge into a wildcard, however many they are. A template is rejected if its smoothed share of bad labelled
-pages is too high. Rules by host and path prefix come before templates; the longest that fits wins.
+longest path, sibling branches merge into wildcards. Branches with FLOOR labelled pages or more are compared with each
+other: they stand in BINS classes of their share of bad pages, and two neighbouring classes are one unless their shares
+differ by more than chance; each such group of several branches is one wildcard, a branch alone in its group stays literal.
+Branches with fewer labels say nothing of their own and make one wildcard apart. A template is rejected if its smoothed
+share of bad labelled pages is too high. Rules by host and path prefix come before templates; the longest that fits wins.
 """
 
 from __future__ import annotations
@@ -12,16 +14,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import table, written
+from tessera.llm.common import sent, table, written
 
 #: (host and path prefix, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Only in the SQL, which cuts deeper paths and merges the rare ones of more than CHILDREN children; the operator does neither.
-LEVELS = 4
-CHILDREN, SHARE = 24, 0.05
-#: Standard errors that a branch's bad share may lie from its siblings' and still merge with them.
-ALIKE = 2.0
+#: Levels of the tree in the SQL, which has to spell them out (the operator goes as deep as the paths).
+LEVELS = 8
+#: Labelled pages from which a branch is compared, classes of bad shares, and standard errors that two classes may differ and still merge.
+FLOOR, BINS, ALIKE = 5, 10, 2.0
 #: Weight (in pages) of the host's share of bad pages, and of the whole table's in the host's, in a smoothed share; and from which share a template is rejected.
 PRIOR, IMPURE = 8.0, 0.5
 #: Segments that look generated: two digits in a row, eight hex digits, an escape, or 40 characters.
@@ -53,6 +55,23 @@ def segments(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(GENERATED), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1))).otherwise(s))
 
 
+def _groups(child: DataFrame) -> DataFrame:
+    """host, template, bin, name (of the wildcard of that class of branches; null if its group has one branch): BINS + 1 rows of a node at most."""
+    share = child.where(_compared()).withColumn("bin", F.expr(f"({BINS} * bad) div seen"))
+    share = share.groupBy("host", "template", "bin").agg(F.count("*").alias("kids"), F.sum("seen").cast("double").alias("n2"), F.sum("bad").cast("double").alias("b2"))
+    node = Window.partitionBy("host", "template").orderBy("bin")
+    share = share.withColumns({"n1": F.lag("n2").over(node), "b1": F.lag("b2").over(node)})
+    differ = F.expr(f"(b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > {ALIKE * ALIKE} * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2")
+    share = share.withColumn("group", F.sum(F.coalesce(differ, F.lit(False)).cast("int")).over(node))
+    members = F.sum("kids").over(Window.partitionBy("host", "template", "group"))
+    name = F.when(members > 1, F.concat(F.lit("*"), F.when(F.col("group") > 0, F.col("group").cast("string")).otherwise("")))
+    return share.select("host", "template", "bin", name.alias("name"))
+
+
+def _compared() -> Column:
+    return (F.col("seen") >= FLOOR) & ~F.col("seg").startswith("*")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, parts, template, labelled, bad, impurity, verdict. pages: host, parts, label (1 bad, 0 good, null unknown).
 
@@ -65,13 +84,14 @@ def templates(pages: DataFrame) -> DataFrame:
         if not tree.limit(1).count():
             break
         tree = tree.withColumn("seg", F.get("parts", F.lit(d - 1)))
-        child = tree.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("paths").alias("all"), F.sum("seen").alias("seen_all"), F.sum("bad").alias("bad_all"))
-        rate = F.try_divide("bad_all", "seen_all")
-        spread = F.sqrt(F.col("seen") * rate * (1 - rate))
-        alike = F.abs(F.col("bad") - F.col("seen") * rate) <= ALIKE * spread
-        wild = (F.col("kids") > 1) & F.coalesce(alike, F.lit(True))
-        child = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(wild & ~F.col("seg").startswith("*"), F.lit("*")).otherwise(F.col("seg")).alias("to"), (F.col("all") == 1).alias("alone"))
+        child = written(tree.groupBy("host", "template", "seg").agg(F.count("*").alias("paths"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad")))
+        groups = written(_groups(child))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("paths").alias("all"))
+        node = written(node.join(groups.where("name is not null").select("host", "template", F.lit(True).alias("merged")).distinct(), ["host", "template"], "left"))
+        keyed = child.withColumn("bin", F.when(_compared(), F.expr(f"({BINS} * bad) div seen")))
+        keyed = keyed.join(sent(node), ["host", "template"]).join(sent(groups), ["host", "template", "bin"], "left")
+        to = F.when(F.col("seg").startswith("*") | (F.col("kids") == 1), F.col("seg")).when(F.col("bin").isNotNull(), F.coalesce("name", "seg")).when(F.col("merged"), F.lit("*?")).otherwise("*")
+        child = keyed.select("host", "template", "seg", to.alias("to"), (F.col("all") == 1).alias("alone"))
         # a path that is alone in its node has no siblings further down: its other segments stay as they are
         to = F.when(F.col("alone"), F.array_join(F.slice("parts", d, F.size("parts")), "/")).otherwise(F.col("to"))
         tree = tree.join(child, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), to))
@@ -91,11 +111,13 @@ def templates(pages: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, impurity of every page (page_id, url).
 
-    labels: page_id (unique), label (1 bad, 0 good). Pages without :// or with a null url have empty host, path and template."""
+    labels: page_id, label (1 bad, 0 good; of several for one page the larger counts, null ones and those of a null page do not).
+    Pages without :// or with a null url have empty host, path and template. Rows that repeat a page_id are each judged, and each
+    carries the page's label into the counts once."""
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("parts", segments(F.col("path")))
-    known = rows.join(labels.select("page_id", "label"), "page_id", "left") if labels is not None else rows.withColumn("label", F.lit(None).cast("int"))
+    known = rows.join(labels.where("label is not null").groupBy("page_id").agg(F.max("label").alias("label")), "page_id", "left") if labels is not None else rows.withColumn("label", F.lit(None).cast("int"))
     rule, says = fitting(rules, F.col("host"), F.col("path"))
     out = rows.join(templates(written(known.select("host", "parts", "label"))), ["host", "parts"])
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, F.col("verdict")).alias("verdict"), "template", F.round("impurity", 9).alias("impurity"))
@@ -119,15 +141,21 @@ def _sql() -> str:
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{says}' ELSE {verdict} END"
     generated = GENERATED.replace("'", "''")
     steps = []
-    for d in range(1, LEVELS + 2):
+    differ = f"(b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > {ALIKE * ALIKE} * (b1 + b2) * (n1 + n2 - b1 - b2) * n1 * n2"
+    for d in range(1, LEVELS + 1):
         steps.append(f"""
 s{d} AS (SELECT *, CASE WHEN len(parts) >= {d} THEN parts[{d}] END AS seg FROM t{d - 1}),
-c{d} AS (SELECT host, template, seg, sum(n) n, sum(seen) seen, sum(bad) bad FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
-n{d} AS (SELECT host, template, count(*) kids, sum(n) all_, sum(seen) seen_all, sum(bad) bad_all FROM c{d} GROUP BY ALL),
-k{d} AS (SELECT host, template, seg, CASE WHEN NOT starts_with(seg, '*') AND kids > 1 AND ((kids > {CHILDREN} AND n < {SHARE} * all_)
-   OR coalesce(abs(bad - seen * (bad_all::DOUBLE / nullif(seen_all, 0))) <= {ALIKE} * sqrt(seen * (bad_all::DOUBLE / nullif(seen_all, 0)) * (1 - bad_all::DOUBLE / nullif(seen_all, 0))), true)) THEN '*' ELSE seg END AS to_
-   FROM c{d} JOIN n{d} USING (host, template)),
-t{d} AS (SELECT s.host, s.parts, s.n, s.seen, s.bad, CASE WHEN k.to_ IS NOT NULL THEN s.template || '/' || k.to_ ELSE s.template END AS template
+c{d} AS (SELECT host, template, seg, sum(seen)::BIGINT seen, sum(bad)::BIGINT bad FROM s{d} WHERE seg IS NOT NULL GROUP BY ALL),
+b{d} AS (SELECT *, CASE WHEN seen >= {FLOOR} AND NOT starts_with(seg, '*') THEN ({BINS} * bad) // seen END AS bin FROM c{d}),
+j{d} AS (SELECT host, template, bin, count(*) kids, sum(seen)::DOUBLE n2, sum(bad)::DOUBLE b2 FROM b{d} WHERE bin IS NOT NULL GROUP BY ALL),
+l{d} AS (SELECT *, lag(n2) OVER w n1, lag(b2) OVER w b1 FROM j{d} WINDOW w AS (PARTITION BY host, template ORDER BY bin)),
+g{d} AS (SELECT *, sum(CASE WHEN {differ} THEN 1 ELSE 0 END) OVER (PARTITION BY host, template ORDER BY bin) AS grp FROM l{d}),
+m{d} AS (SELECT host, template, bin, CASE WHEN sum(kids) OVER (PARTITION BY host, template, grp) > 1 THEN '*' || CASE WHEN grp > 0 THEN grp::BIGINT::VARCHAR ELSE '' END END AS name FROM g{d}),
+n{d} AS (SELECT host, template, count(*) AS kids FROM c{d} GROUP BY ALL),
+x{d} AS (SELECT DISTINCT host, template, true AS merged FROM m{d} WHERE name IS NOT NULL),
+k{d} AS (SELECT b.host, b.template, seg, CASE WHEN starts_with(seg, '*') OR kids = 1 THEN seg WHEN b.bin IS NOT NULL THEN coalesce(name, seg) WHEN merged THEN '*?' ELSE '*' END AS to_
+   FROM b{d} b JOIN n{d} n ON b.host = n.host AND b.template = n.template LEFT JOIN m{d} m ON b.host = m.host AND b.template = m.template AND b.bin = m.bin LEFT JOIN x{d} x ON b.host = x.host AND b.template = x.template),
+t{d} AS (SELECT s.host, s.parts, s.seen, s.bad, CASE WHEN k.to_ IS NOT NULL THEN s.template || '/' || k.to_ ELSE s.template END AS template
    FROM s{d} s LEFT JOIN k{d} k ON s.host = k.host AND s.template = k.template AND s.seg = k.seg)""")
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages),
@@ -135,13 +163,13 @@ h AS (SELECT page_id, coalesce({host}, '') AS host, coalesce(regexp_extract(rest
 q AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{generated}') THEN '*' || regexp_extract(s, '(\\.[A-Za-z]{{1,5}})$', 1) ELSE s END) AS p0,
   try_cast(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*/?$', 1), '') AS BIGINT) AS doc_id FROM h),
 g AS (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS label FROM labels GROUP BY doc_id),
-p AS (SELECT page_id, host, path, CASE WHEN len(p0) > {LEVELS} THEN list_append(p0[1:{LEVELS}], '**') ELSE p0 END AS parts, label FROM q LEFT JOIN g ON q.doc_id = g.doc_id),
-t0 AS (SELECT host, parts, count(*) n, count(label) seen, coalesce(sum(label), 0) bad, '' AS template FROM p GROUP BY host, parts),{",".join(steps)},
-w AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(seen), 0), 0) AS whole FROM t{LEVELS + 1}),
-o AS (SELECT host, sum(bad)::DOUBLE hb, sum(seen)::DOUBLE hs FROM t{LEVELS + 1} GROUP BY host),
-e AS (SELECT host, template, sum(seen)::DOUBLE labelled, sum(bad)::DOUBLE b FROM t{LEVELS + 1} GROUP BY ALL),
+p AS (SELECT page_id, host, path, p0 AS parts, label FROM q LEFT JOIN g ON q.doc_id = g.doc_id),
+t0 AS (SELECT host, parts, count(label) seen, coalesce(sum(label), 0) bad, '' AS template FROM p GROUP BY host, parts),{",".join(steps)},
+w AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(seen), 0), 0) AS whole FROM t{LEVELS}),
+o AS (SELECT host, sum(bad)::DOUBLE hb, sum(seen)::DOUBLE hs FROM t{LEVELS} GROUP BY host),
+e AS (SELECT host, template, sum(seen)::DOUBLE labelled, sum(bad)::DOUBLE b FROM t{LEVELS} GROUP BY ALL),
 i AS (SELECT e.host, e.template, (b + {PRIOR} * ((hb + {PRIOR} * whole) / (hs + {PRIOR}))) / (labelled + {PRIOR}) AS impurity FROM e JOIN o USING (host), w),
-v AS (SELECT t.host, t.parts, t.template, i.impurity, CASE WHEN impurity >= {IMPURE} THEN 'block' ELSE 'allow' END AS says FROM t{LEVELS + 1} t JOIN i ON t.host = i.host AND t.template = i.template)
+v AS (SELECT t.host, t.parts, t.template, i.impurity, CASE WHEN impurity >= {IMPURE} THEN 'block' ELSE 'allow' END AS says FROM t{LEVELS} t JOIN i ON t.host = i.host AND t.template = i.template)
 SELECT page_id, p.host, path, {rule.replace("host", "p.host")} AS rule, coalesce({verdict.replace("host", "p.host")}, says) AS verdict, template
 FROM p JOIN v ON p.host = v.host AND p.parts = v.parts"""
 

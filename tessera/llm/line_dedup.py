@@ -1,35 +1,84 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines within one edit of each other (EDITS), directly or through others, are one class; of a class only the first line
-(by document, then place) stays. Distinct lines are cut into EDITS + 1 = 2 segments: of two lines one edit apart, one has a segment
-of the other unchanged at the same place, or moved by the difference of their lengths. So each line is listed under
-(length, segment, text) and probes the lists of its own length and of one less. A list that is too long for all its pairs
-is cut again: the segment that may differ is split in two, and so on, until lists are short or what may differ is two
-characters. Pairs are verified by Spark's banded edit distance.
+Lines within EDITS = k edits of each other, directly or through others, are one class; of a class only the first line (by
+document, then place) stays. Distinct lines are cut into k + 1 segments. Of two lines within k edits one segment of the
+shorter is in the longer unchanged, moved by no more than the edits before and after it allow, so each line is listed
+under its segments and probes the places where a segment of a line up to k shorter may stand. Lists up to LIST rows give
+their pairs. A longer list is linked to its first line; if it then still holds several classes, its lines are cut into
+more segments, of which all but k must be equal together, and so on down to segments of two characters. Pairs are verified
+by Spark's banded edit distance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, sent, table, written
+from tessera.llm.common import components, drop, sent, table, written
 
-EDITS = 1
+EDITS = 2
 #: Shorter lines (in characters) are only compared for equality.
 LEAST = 20
 #: Rows of a list up to which its pairs are compared.
 LIST = 16
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """One level down. rows: id, line, probe (it stands one character longer than the lists it probes), key, a, n (where, and
-    over how many characters of the shorter line, the two may differ). Each row becomes two: left part equal, or right part equal."""
-    half = F.expr("int(n / 2)")
-    moved = F.col("probe").cast("int")
-    left = F.struct(F.xxhash64("key", F.lit(1), F.substr("line", F.col("a"), half)).alias("key"), (F.col("a") + half).alias("a"), (F.col("n") - half).alias("n"))
-    right = F.struct(F.xxhash64("key", F.lit(2), F.substr("line", F.col("a") + half + moved, F.col("n") - half)).alias("key"), F.col("a").alias("a"), half.alias("n"))
-    return rows.select("id", "probe", F.explode(F.array(left, right)).alias("x")).select("id", "probe", "x.*")
+def _class(n: Column) -> Column:
+    """Lengths that are cut at the same places: the length rounded down, more coarsely for longer lines."""
+    step = F.when(n < 64, 4).when(n < 256, 16).otherwise(32)
+    return (n - F.pmod(n, step)).cast("int")
+
+
+def _segments(lines: DataFrame, edits: int) -> DataFrame:
+    """id, n, key, base: every line under its segments and at the places where a segment of a shorter line may stand.
+
+    Cuts are the same for lines of one length class, so that one row serves several lengths; the first segment is taken from the
+    line's begin, the last from its end. base: a segment at its own place; a pair needs one such row."""
+    n, b, parts = F.col("n"), F.col("class"), edits + 1
+    rows = lines.select("id", "line", F.char_length("line").alias("n"))
+    rows = rows.withColumn("class", F.explode(F.array_distinct(F.array(*[_class(n - d) for d in range(parts)]))))
+    cut = lambda i: F.floor(b * i / parts).cast("int")
+    own = _class(n) == b
+    places = []
+    for i in range(parts):
+        start, size = cut(i), cut(i + 1) - cut(i)
+        if i == edits:
+            places.append((i, own, F.substr("line", n - size + 1, size)))
+            continue
+        for t in range(-min(i, edits - i), i + 1):
+            places.append((i, own if t == 0 else F.lit(False), F.substr("line", start + t + 1, size)))
+    keys = [F.struct(F.xxhash64("class", F.lit(i), text).alias("key"), base.alias("base")) for i, base, text in places]
+    return rows.select("id", "n", F.explode(F.array(*keys)).alias("x")).select("id", "n", "x.key", "x.base")
+
+
+def _layouts(edits: int, parts: int) -> list[tuple[int, int, tuple]]:
+    """How a line that is `more` characters longer may hold all but `edits` of `parts` segments: (which are left out, more,
+    for each stretch of segments between: first, end, shift)."""
+    found = set()
+    for k, out in enumerate(combinations(range(parts), edits)):
+        edge = [-1, *out, parts]
+        for more in range(edits + 1):
+            for moved in product(range(-edits, edits + 1), repeat=edits - 1):
+                shifts = [0, *moved, more]
+                if sum(abs(x - y) for x, y in zip(shifts, shifts[1:])) <= edits:
+                    stretches = tuple((i + 1, j, s if j > i + 1 else 0) for i, j, s in zip(edge[:-1], edge[1:], shifts, strict=True))
+                    found.add((k, more, stretches))
+    return sorted(found)
+
+
+def _stretches(lines: DataFrame, edits: int, parts: int) -> DataFrame:
+    """id, n, key, base, as above, for all but `edits` of `parts` segments together. Only for lines on long lists."""
+    kinds = [F.struct(F.lit(k).alias("k"), F.lit(more).alias("more"), *[F.lit(x).alias(f"{c}{i}") for i, s in enumerate(stretches) for c, x in zip("ijs", s, strict=True)]) for k, more, stretches in _layouts(edits, parts)]
+    rows = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(F.array(*kinds)).alias("x")).select("id", "line", "n", "x.*")
+    size = F.col("n") - F.col("more")
+    cut = lambda i: F.floor(size * F.col(i) / parts).cast("int")
+    texts = [F.substr("line", cut(f"i{i}") + F.col(f"s{i}") + 1, cut(f"j{i}") - cut(f"i{i}")) for i in range(edits + 1)]
+    still = F.col("more") == 0
+    for i in range(edits + 1):
+        still = still & (F.col(f"s{i}") == 0)
+    return rows.select("id", "n", F.xxhash64(F.lit(parts), size, "k", *texts).alias("key"), still.alias("base"))
 
 
 def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -37,63 +86,82 @@ def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select("id", "line").join(sent(written(ids.distinct())), "id", "left_semi")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    lists, probes = rows.where("not probe").select("key", F.col("id").alias("b")), rows.select("key", F.col("id").alias("a"), "probe")
-    return lists.join(probes, "key").where("probe or a > b").select("a", "b").distinct()
+def _close(lines: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) that are within `edits`."""
+    texts = _of(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return both.where(F.levenshtein("x", "y", edits) >= 0).select("a", "b")
 
 
-def edit_links(lines: DataFrame) -> DataFrame:
-    """(a, b): lines (id, line; distinct, LEAST characters or more) one edit apart."""
-    base = lines.select("id", "line", F.char_length("line").alias("size"))
-    rows = base.select("id", "line", F.explode(F.array(F.lit(False), F.lit(True))).alias("probe"), "size")
-    rows = rows.select("id", "line", "probe", (F.col("size") - F.col("probe").cast("int")).alias("n")).withColumns({"key": F.xxhash64("n"), "a": F.lit(1)})
-    pairs = None
+def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(a, b): links between lines (id, line; distinct, LEAST characters or more) within `edits`, not all, but enough that two
+    such lines are connected. `edits` is 1 or more."""
+    parts, rows, links, comps = edits + 1, _segments(lines, edits), None, None
     while True:
-        cut = written(_split(rows), "lz4")
-        lists = cut.groupBy("key").agg(F.count("*").alias("len"), F.count_if(~F.col("probe")).alias("lists")).where("lists > 1 or lists = 1 and len > 1").select("key", "len")
-        cut = written(cut.join(sent(written(lists)), "key"))
-        ready = cut.where(f"len <= {LIST} or n <= 2")
-        found = written(_pairs(ready))
-        pairs = found if pairs is None else pairs.union(found)
-        longer = cut.where(f"len > {LIST} and n > 2").select("id", "probe", "key", "a", "n")
-        if not longer.limit(1).count():
-            break
-        rows = longer.join(_of(lines, longer.select("id")), "id")
-    pairs = written(pairs.distinct())
-    texts = _of(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b")
+        rows = written(rows, "lz4")
+        lists = rows.groupBy("key").agg(F.count("*").alias("len"), F.count_if("base").alias("bases"), F.min_by("id", F.when(F.col("base"), F.col("id"))).alias("head"), F.min("n").alias("least")).where("len > 1 and bases > 0")
+        lists = written(lists.select("key", "head", ((F.col("len") <= LIST) | (F.col("least") <= 2 * parts)).alias("ready")))
+        cut = written(rows.join(sent(lists), "key"))
+        drop(rows)
+        if comps is not None:  # lists that hold one class already have nothing to tell
+            cut = cut.join(comps.select(F.col("a").alias("id"), F.col("b").alias("c__")), "id", "left").withColumn("comp", F.coalesce("c__", "id")).drop("c__")
+            several = cut.groupBy("key").agg(F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("key")
+            cut = written(cut.join(sent(written(several)), "key"))
+        short, long_ = cut.where("ready"), cut.where("not ready")
+        left, right = (short.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("base").alias(f"base{c}")) for c in "ab")
+        pairs = left.join(right, "key").where(f"a > b and (basea or baseb) and abs(na - nb) <= {edits}").select("a", "b")
+        heads = long_.where("id != head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+        found = written(_close(lines, written(pairs.union(heads).distinct()), edits))
+        links = found if links is None else written(links.union(found))
+        if not long_.limit(1).count():
+            return links
+        comps = components(links)
+        known = long_.select("key", "id").join(comps.select(F.col("a").alias("id"), "b"), "id", "left").select("key", "id", F.coalesce("b", "id").alias("comp"))
+        several = known.groupBy("key").agg(F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("key")
+        left_over = written(known.join(sent(written(several)), "key").select("id").distinct())
+        drop(cut)
+        if not left_over.limit(1).count():
+            return links
+        parts *= 2
+        rows = _stretches(_of(lines, left_over), edits, parts)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, at (from 0), line: every line with a character that is not white space."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(r"line rlike '[^ \\t\\r\\x0B\\f]'")
+    """d, h, at (from 0), line: every line with a character that is not white space."""
+    return docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(r"line rlike '[^ \\t\\r\\x0B\\f]'")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, gone (array of places of lines that go). docs: doc_id (unique), text."""
+def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """d, h, gone (array of places of lines that go). docs: d and h (which name a row), text."""
     lines = _lines(docs)
-    distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("copies"))
+    distinct = lines.groupBy("line").agg(F.min(F.struct("d", "h", "at")).alias("first"), F.count("*").alias("copies"))
     distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()))
-    comps = components(edit_links(distinct.where(F.char_length("line") >= LEAST).select("id", "line")))
+    comps = components(edit_links(distinct.where(F.char_length("line") >= LEAST).select("id", "line"), edits))
     linked = comps.select(F.col("a").alias("id"), F.col("b").alias("class")).union(comps.select("b", "b").distinct())
     # lines without copies or links stay and need no look-up
     some = distinct.join(linked, "id", "left").where("copies > 1 or class is not null").select(F.coalesce("class", "id").alias("class"), "first", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     some = written(some)
+    drop(distinct)
     firsts = some.groupBy("class").agg(F.min("first").alias("stays"))
     keys = written(some.join(firsts, "class").select("h1", "h2", "stays"))
-    places = lines.select("doc_id", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    return places.join(keys, ["h1", "h2"]).where("struct(doc_id, at) != stays").groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    places = lines.select("d", "h", "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return places.join(keys, ["h1", "h2"]).where("struct(d, h, at) != stays").groupBy("d", "h").agg(F.collect_set("at").alias("gone"))
+
 
+def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """doc_id, text (without the lines that go), n_lines (not blank), n_removed of every row.
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, text (without the lines that go), n_lines (not blank), n_removed. Blank lines stay; null texts stay null, with 0 lines. doc_id is unique and not null."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = docs.join(repeated_lines(docs.where("text is not null")), "doc_id", "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    n = F.size(F.filter(parts, lambda x: x.rlike(r"[^ \t\r\x0B\f]")))
-    return out.select("doc_id", kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")).withColumn("n_removed", F.greatest(F.col("n_removed"), F.lit(0)))
+    Blank lines stay; null texts stay null, with 0 lines. Rows of one doc_id with different texts are documents of their own, the
+    one with the smaller hash of its text first; rows equal in doc_id and text are one document and keep the same lines. Rows
+    without a doc_id come first. Other columns are ignored."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), "text")
+    gone = repeated_lines(docs.where("text is not null"), edits)
+    out = docs.select("doc_id", "d", "h", F.split("text", "\n").alias("parts")).join(gone, ["d", "h"], "left")
+    # places that stay, by a set difference: linear in a document's lines
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone"), lambda i: F.get("parts", i))
+    text = F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(kept, "\n"))
+    n = F.size(F.filter("parts", lambda x: x.rlike(r"[^ \t\r\x0B\f]")))
+    return out.select("doc_id", text.alias("text"), F.when(F.col("parts").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +170,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
-#: Candidates: lines of nearly equal length with an equal half, as any two lines within one edit have.
-ORACLE_SQL = """
+#: Candidates: a third of the shorter line stands in the longer, moved as the edits on both sides of it allow.
+ORACLE_SQL = f"""
 WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
 solid AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ \\t\\r\\x0B\\f]')),
 uniq AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM solid)),
-longs AS (SELECT * FROM uniq WHERE n >= 20),
-cand AS (
-  SELECT x.id a, y.id b, x.line lx, y.line ly FROM longs x JOIN longs y ON y.n BETWEEN x.n AND x.n + 1 AND x.id <> y.id AND left(x.line, x.n // 2) = left(y.line, x.n // 2)
-  UNION
-  SELECT x.id, y.id, x.line, y.line FROM longs x JOIN longs y ON y.n BETWEEN x.n AND x.n + 1 AND x.id <> y.id AND right(x.line, x.n - x.n // 2) = right(y.line, x.n - x.n // 2)),
-link AS (SELECT a, b FROM cand WHERE levenshtein(lx, ly) <= 1 UNION SELECT b, a FROM cand WHERE levenshtein(lx, ly) <= 1),
+longs AS (SELECT * FROM uniq WHERE n >= {LEAST}),
+moves AS (SELECT i, more, t FROM (SELECT unnest(range({EDITS + 1})) AS i), (SELECT unnest(range({EDITS + 1})) AS more), (SELECT unnest(range(-{EDITS}, {EDITS + 1})) AS t) WHERE abs(t) <= i AND abs(t - more) <= {EDITS} - i),
+listed AS (SELECT id, n, i, substring(line, n * i // {EDITS + 1} + 1, n * (i + 1) // {EDITS + 1} - n * i // {EDITS + 1}) AS seg FROM longs, (SELECT unnest(range({EDITS + 1})) AS i)),
+probes AS (SELECT id, n - more AS n, i, substring(line, (n - more) * i // {EDITS + 1} + t + 1, (n - more) * (i + 1) // {EDITS + 1} - (n - more) * i // {EDITS + 1}) AS seg FROM longs, moves),
+cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM listed x JOIN probes y USING (n, i, seg) WHERE x.id <> y.id),
+near AS (SELECT a, b FROM cand JOIN longs x ON a = x.id JOIN longs y ON b = y.id WHERE levenshtein(x.line, y.line) <= {EDITS}),
+link AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 class AS (SELECT u.line, coalesce(least(u.id, min(r.b)), u.id) AS class FROM uniq u LEFT JOIN reach r ON u.id = r.a GROUP BY u.line, u.id),
 ranked AS (SELECT s.doc_id, s.pos, row_number() OVER (PARTITION BY class ORDER BY s.doc_id, s.pos) AS k FROM solid s JOIN class USING (line)),

@@ -99,13 +99,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             at = to
 
 
-def running_totals(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Adds `out`: the sum of `value` over all rows of a smaller `key` (null is the smallest; rows of one key follow each other).
+def running_totals(df: DataFrame, key: str | list[str], value: str, out: str) -> DataFrame:
+    """Adds `out`: the sum of `value` over all rows of a smaller `key`, one column or several (null is the smallest; rows of one key follow each other).
 
     Rows are dealt by ranges of the key, each task adds up its own range, and one row per task carries the offsets."""
     schema = df.schema.fieldNames()
     # a filter-free deal by ranges: every task holds consecutive keys
-    dealt = df.repartitionByRange(key).sortWithinPartitions(key)
+    keys = [key] if isinstance(key, str) else key
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     local = f"{out}__local"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,11 @@
 A byte is removed if a string of LENGTH bytes that starts at two places covers it. Sorting every position is out of
 reach, so positions meet through anchors: each window of LENGTH bytes names the smallest hash among its GRAM-byte strings
 as its anchor, so equal windows have equal anchors at equal places, and consecutive windows of one anchor form one node
-(one for about 140 bytes). Position classes are then ranked at growing lengths, GRAM, LENGTH - STEP + 1 and LENGTH bytes,
-each as a pair of the shorter length's rank and a fingerprint of the bytes up to the next; Spark brings equal pairs together,
-and what is unique at one length is dropped before the next. A node whose whole reach recurs is settled at once.
+(one for about 140 bytes). Nodes are told apart by the GRAM bytes at their anchor first; what is unique there goes, and a
+node whose whole reach recurs is settled at once. The others are cut into runs of STEP windows, and each run's first
+place is ranked at lengths GRAM, 2 GRAM and LENGTH - STEP + 1: the rank at one length is the place in Spark's sort of the
+pairs (rank at the length before, fingerprint of the bytes from there on), and a pair that occurs once goes before the next
+length. Windows of the runs that are left are compared last, as pairs of their run's rank and fingerprints of LENGTH bytes.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bytes_of, steps, table, written
+from tessera.llm.common import bytes_of, drop, running_totals, steps, table, written
 from tessera.llm.words import mix
 
 LENGTH = 400
 GRAM = 128
 STEP = 32
-_PLACE = np.uint64(28)
+#: Bits of a place in a slice of documents: Arrow has no longer texts.
+_PLACE = np.uint64(31)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) for s in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
 _powers: list[np.ndarray] = []
@@ -65,6 +68,8 @@ def _nodes(data: np.ndarray, off: np.ndarray, prints: Fingerprints, length: int,
     n = len(data)
     if n < length:
         return (np.empty(0, np.int64),) * 4
+    if n >> int(_PLACE):
+        raise ValueError("a text of 2 GB or more")
     at = np.arange(n - gram + 1)
     v = (prints.of(at, at + gram) >> _PLACE << _PLACE) | at.astype(np.uint64)
     anchor = (_smallest(v, length - gram + 1) & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64)
@@ -119,9 +124,10 @@ def _cut_out(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     return docs.join(parts, "doc_id").select("doc_id", "text", "nodes").mapInArrow(run, "doc_id bigint, a int, lo int, hi int, weight int, bytes binary")
 
 
-def _ranked(reach: DataFrame, length: int, step: int, single: bool) -> DataFrame:
+def _ranked(reach: DataFrame, length: int, gram: int, step: int, single: bool) -> DataFrame:
     """Each node's runs of windows, cut where their distance from the anchor is a multiple of `step` (single: every window):
-    doc_id, a, lo, hi, weight, core1, core2 (what all windows of such a run hold), f1, f2 (the run's whole reach)."""
+    doc_id, a, lo, hi, weight, rank (the distance; single: the node's own), p1, p2, p3 (fingerprints of the bytes that all windows of
+    such a run hold: the first `gram`, the next, the others), f1, f2 (of the run's whole reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,45 +145,73 @@ def _ranked(reach: DataFrame, length: int, step: int, single: bool) -> DataFrame
             m = np.repeat(near - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             first, last = np.maximum(lo[row], a[row] - m * size - size + 1), np.minimum(hi[row], a[row] - m * size)
             b = base[row]
-            # all windows at distances m*size .. m*size+size-1 hold these bytes
-            begin, end = b + a[row] - m * size, b + a[row] - m * size - size + 1 + length
-            tag = mix(m.astype(np.uint64))
             extent = mix((a[row] - first).astype(np.uint64) * np.uint64(1 << 20) + (a[row] - last).astype(np.uint64))
-            cores = [prints.of(begin, end, k) ^ tag for k in (0, 1)]
             fs = [prints.of(b + first, b + last + length, k) ^ extent for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (a[row], first, last)), batch.column("weight").take(pa.array(row)), *(_signed(x) for x in (*cores, *fs))], ["doc_id", "a", "lo", "hi", "weight", "core1", "core2", "f1", "f2"])
+            columns = [batch.column("doc_id").take(pa.array(row)), *(pa.array(x.astype(np.int32)) for x in (a[row], first, last)), batch.column("weight").take(pa.array(row))]
+            if single:
+                columns += [batch.column("rank").take(pa.array(row)), *(_signed(x) for x in fs)]
+            else:
+                # all windows at distances m*size .. m*size+size-1 hold the bytes from `begin` on
+                begin = b + a[row] - m * size
+                ends = [begin, begin + gram, begin + 2 * gram, begin - size + 1 + length]
+                columns += [pa.array(m), *(_signed(prints.of(x, y, k)) for k, (x, y) in zip((0, 1, 0), zip(ends, ends[1:]), strict=True)), *(_signed(x) for x in fs)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id bigint, a int, lo int, hi int, weight int, rank bigint, " + ("" if single else "p1 bigint, p2 bigint, p3 bigint, ") + "f1 bigint, f2 bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return reach.mapInArrow(run, schema)
+
 
-    return reach.mapInArrow(run, "doc_id bigint, a int, lo int, hi int, weight int, core1 bigint, core2 bigint, f1 bigint, f2 bigint")
+def _longer(rows: DataFrame, more: str) -> DataFrame:
+    """One round of doubling: rows whose pair (rank, `more`) occurs once go; the others' new rank is their pair's place in the sort of all pairs."""
+    pairs = written(rows.groupBy("rank", more).agg(F.count("*").alias("n__")).where("n__ > 1"))
+    # a table of its own, so that the join by a hot pair may be split
+    ranks = written(running_totals(pairs, ["rank", more], "n__", "rank__").select("rank", more, "rank__"))
+    out = written(rows.join(ranks, ["rank", more]).drop("rank", more).withColumnRenamed("rank__", "rank"))
+    drop(rows, pairs, ranks)
+    return out
 
 
-def _settled(rows: DataFrame, cores: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One rerank. rows: doc_id, a, lo, hi, weight, cores, f1, f2. Returns the runs all of whose windows recur (doc_id, lo, hi),
+def _settled(rows: DataFrame, core: str) -> tuple[DataFrame, DataFrame]:
+    """One rerank. rows: doc_id, a, lo, hi, weight, core, f1, f2. Returns the runs all of whose windows recur (doc_id, lo, hi),
     and what the next length has to tell apart: one row for each class of equal runs, of weight 2 if the class is settled,
     where a core is held by several classes of which at least one is not."""
     # counts are tables of their own, so that a join by a hot core may be split
-    many = written(rows.groupBy(*cores).agg(F.count("*").alias("n__")).where("n__ > 1").drop("n__"))
-    rows = written(rows.join(many, cores, "left_semi"))
-    classes = written(rows.groupBy(*cores, "f1", "f2").agg(F.sum("weight").alias("w"), *(F.first(c).alias(c) for c in ("doc_id", "a", "lo", "hi"))))
+    many = written(rows.groupBy(core).agg(F.count("*").alias("n__")).where("n__ > 1").drop("n__"))
+    again = written(rows.join(many, core, "left_semi"))
+    drop(rows, many)
+    classes = written(again.groupBy(core, "f1", "f2").agg(F.sum("weight").alias("w"), *(F.first(c).alias(c) for c in ("doc_id", "a", "lo", "hi"))))
     whole = written(classes.where("w > 1").select("f1", "f2").distinct())
-    found = rows.where("weight = 1").join(whole, ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi")
-    open_ = classes.groupBy(*cores).agg(F.count("*").alias("n__"), F.min("w").alias("least__")).where("n__ > 1 and least__ = 1").drop("n__", "least__")
+    found = written(again.where("weight = 1").join(whole, ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi"))
+    drop(again, whole)
+    open_ = classes.groupBy(core).agg(F.count("*").alias("n__"), F.min("w").alias("least__")).where("n__ > 1 and least__ = 1").drop("n__", "least__")
     open_ = written(open_)
-    return written(found), written(classes.join(open_, cores, "left_semi").select("doc_id", "a", "lo", "hi", F.least("w", F.lit(2)).cast("int").alias("weight")))
+    left = written(classes.join(open_, core, "left_semi").select("doc_id", "a", "lo", "hi", core, F.least("w", F.lit(2)).cast("int").alias("weight")))
+    drop(classes, open_)
+    return found, left
 
 
 def recurring(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
-    """doc_id, lo, hi: runs of windows (places of first bytes) that all recur. docs: doc_id (unique), text (not null)."""
+    """doc_id, lo, hi: runs of windows (places of first bytes) that all recur. docs: doc_id (unique), text (not null).
+    2 * gram < length - step + 1."""
     nodes = anchors(docs, length, gram).withColumn("weight", F.lit(1))
-    found, left = _settled(written(nodes), ["core"])
+    found, left = _settled(written(nodes), "core")
     parts = left.groupBy("doc_id").agg(F.collect_list(F.struct("a", "lo", "hi", "weight")).alias("nodes"))
     reach = written(_cut_out(docs, parts, length))
-    more, left = _settled(written(_ranked(reach, length, step, False)), ["core1", "core2"])
+    drop(left)
+    runs = written(_ranked(reach, length, gram, step, False))
+    for more in ("p1", "p2", "p3"):
+        runs = _longer(runs, more)
+    more, left = _settled(runs, "rank")
     found = found.union(more)
-    left = left.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}).join(reach.drop("weight"), ["doc_id", "a"])
-    left = left.select("doc_id", "a", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "weight", F.expr(f"substring(bytes, lo2 - lo + 1, hi2 - lo2 + {length})").alias("bytes"))
-    single = written(_ranked(left, length, step, True).select("doc_id", "lo", "hi", "weight", "f1", "f2"))
-    twice = written(single.groupBy("f1", "f2").agg(F.sum("weight").alias("w")).where("w > 1").drop("w"))
-    return found.union(single.where("weight = 1").join(twice, ["f1", "f2"], "left_semi").select("doc_id", "lo", "hi"))
+    windows = left.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}).join(reach.drop("weight"), ["doc_id", "a"])
+    windows = windows.select("doc_id", "a", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "weight", "rank", F.expr(f"substring(bytes, lo2 - lo + 1, hi2 - lo2 + {length})").alias("bytes"))
+    single = written(_ranked(windows, length, gram, step, True).select("doc_id", "lo", "hi", "weight", "rank", "f1", "f2"))
+    drop(reach, left)
+    twice = written(single.groupBy("rank", "f1", "f2").agg(F.sum("weight").alias("w")).where("w > 1").drop("w"))
+    last = written(single.where("weight = 1").join(twice, ["rank", "f1", "f2"], "left_semi").select("doc_id", "lo", "hi"))
+    drop(single, twice)
+    return found.union(last)
 
 
 def removed(docs: DataFrame, length: int = LENGTH, digest_only: bool = False) -> DataFrame:

@@ -4,13 +4,14 @@ Lines within EDITS = k edits of each other, directly or through others, are one
 document, then place) stays. Distinct lines are cut into k + 1 segments. Of two lines within k edits one segment of the
 shorter is in the longer unchanged, moved by no more than the edits before and after it allow, so each line is listed
 under its segments and probes the places where a segment of a line up to k shorter may stand. Lists up to LIST rows give
-their pairs. A longer list is linked to its first line; if it then still holds several classes, its lines are cut into
+their pairs. A longer list is linked to its first line; if some of its lines are too far from that one, all are cut into
 more segments, of which all but k must be equal together, and so on down to segments of two characters. Pairs are verified
 by Spark's banded edit distance.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,8 +71,11 @@ def _layouts(edits: int, parts: int) -> list[tuple[int, int, tuple]]:
 
 def _stretches(lines: DataFrame, edits: int, parts: int) -> DataFrame:
     """id, n, key, base, as above, for all but `edits` of `parts` segments together. Only for lines on long lists."""
-    kinds = [F.struct(F.lit(k).alias("k"), F.lit(more).alias("more"), *[F.lit(x).alias(f"{c}{i}") for i, s in enumerate(stretches) for c, x in zip("ijs", s, strict=True)]) for k, more, stretches in _layouts(edits, parts)]
-    rows = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(F.array(*kinds)).alias("x")).select("id", "line", "n", "x.*")
+    # one literal, parsed once: hundreds of structs built one by one would cost the driver seconds
+    names = ["k", "more", *[f"{c}{i}" for i in range(edits + 1) for c in "ijs"]]
+    kinds = json.dumps([dict(zip(names, (k, more, *(x for s in stretches for x in s)), strict=True)) for k, more, stretches in _layouts(edits, parts)])
+    kinds = F.from_json(F.lit(kinds), f"array<struct<{', '.join(f'{c}:int' for c in names)}>>")
+    rows = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(kinds).alias("x")).select("id", "line", "n", "x.*")
     size = F.col("n") - F.col("more")
     cut = lambda i: F.floor(size * F.col(i) / parts).cast("int")
     texts = [F.substr("line", cut(f"i{i}") + F.col(f"s{i}") + 1, cut(f"j{i}") - cut(f"i{i}")) for i in range(edits + 1)]
@@ -96,29 +100,24 @@ def _close(lines: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): links between lines (id, line; distinct, LEAST characters or more) within `edits`, not all, but enough that two
     such lines are connected. `edits` is 1 or more."""
-    parts, rows, links, comps = edits + 1, _segments(lines, edits), None, None
+    parts, rows, links = edits + 1, _segments(lines, edits), None
     while True:
         rows = written(rows, "lz4")
         lists = rows.groupBy("key").agg(F.count("*").alias("len"), F.count_if("base").alias("bases"), F.min_by("id", F.when(F.col("base"), F.col("id"))).alias("head"), F.min("n").alias("least")).where("len > 1 and bases > 0")
-        lists = written(lists.select("key", "head", ((F.col("len") <= LIST) | (F.col("least") <= 2 * parts)).alias("ready")))
+        lists = written(lists.select("key", "len", "head", ((F.col("len") <= LIST) | (F.col("least") <= 2 * parts)).alias("ready")))
         cut = written(rows.join(sent(lists), "key"))
         drop(rows)
-        if comps is not None:  # lists that hold one class already have nothing to tell
-            cut = cut.join(comps.select(F.col("a").alias("id"), F.col("b").alias("c__")), "id", "left").withColumn("comp", F.coalesce("c__", "id")).drop("c__")
-            several = cut.groupBy("key").agg(F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("key")
-            cut = written(cut.join(sent(written(several)), "key"))
-        short, long_ = cut.where("ready"), cut.where("not ready")
+        short, long_ = cut.where("ready"), cut.where("not ready").select("key", "len", "id", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
         left, right = (short.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("base").alias(f"base{c}")) for c in "ab")
         pairs = left.join(right, "key").where(f"a > b and (basea or baseb) and abs(na - nb) <= {edits}").select("a", "b")
-        heads = long_.where("id != head").select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-        found = written(_close(lines, written(pairs.union(heads).distinct()), edits))
-        links = found if links is None else written(links.union(found))
-        if not long_.limit(1).count():
-            return links
-        comps = components(links)
-        known = long_.select("key", "id").join(comps.select(F.col("a").alias("id"), "b"), "id", "left").select("key", "id", F.coalesce("b", "id").alias("comp"))
-        several = known.groupBy("key").agg(F.min("comp").alias("lo__"), F.max("comp").alias("hi__")).where("lo__ != hi__").select("key")
-        left_over = written(known.join(sent(written(several)), "key").select("id").distinct())
+        pairs = written(pairs.union(long_.where("a != b").select("a", "b")).distinct())
+        found = written(_close(lines, pairs, edits))
+        drop(pairs)
+        links = found if links is None else links.union(found)
+        # a long list whose lines are all linked to its first one has nothing more to tell
+        linked = long_.join(sent(found.select("a", "b", F.lit(True).alias("linked"))), ["a", "b"], "left").where("linked or a = b")
+        settled = linked.groupBy("key").agg(F.count("*").alias("n__"), F.first("len").alias("len")).where("n__ = len").select("key")
+        left_over = written(long_.join(settled, "key", "left_anti").select("id").distinct())
         drop(cut)
         if not left_over.limit(1).count():
             return links

@@ -28,6 +28,8 @@ GRAM = 128
 STEP = 32
 #: Bits of a place in a slice of documents: Arrow has no longer texts.
 _PLACE = np.uint64(31)
+#: Text bytes that one numpy step handles: some 20 arrays of 8 bytes for each live at once.
+SLICE = 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LETTERS = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(s)) for s in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
 _powers: list[np.ndarray] = []
@@ -39,7 +41,7 @@ class Fingerprints:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if not _powers or len(_powers[0]) < n:
-            size = max(n, 1 << 20) + 1
+            size = max(n, SLICE) + 1
             _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b, np.uint64))]) for base in _BASES for b in (base, pow(base, -1, 1 << 64))]
         self.sums = []
         for k in (0, 1):
@@ -94,7 +96,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Nodes: doc_id, a, lo, hi (anchor, first and last window in the document), core, and f1, f2 of the whole reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=SLICE):
             data, off = bytes_of(batch.column("text"))
             prints = Fingerprints(data)
             doc, a, lo, hi = _nodes(data, off, prints, length, gram)
@@ -113,7 +115,7 @@ def _cut_out(docs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     """The nodes' own bytes: doc_id, a, lo, hi, weight, bytes (of all their windows). parts: doc_id, nodes (an array of the others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=SLICE):
             rows = []
             for doc, text, nodes in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
                 raw = text.encode()
@@ -130,9 +132,7 @@ def _ranked(reach: DataFrame, length: int, gram: int, step: int, single: bool) -
     such a run hold: the first `gram`, the next, the others), f1, f2 (of the run's whole reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in steps(batches, "bytes", SLICE // 2):
             a, lo, hi = (batch.column(c).to_numpy().astype(np.int64) for c in ("a", "lo", "hi"))
             column = batch.column("bytes").cast(pa.large_binary())
             off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -223,7 +223,7 @@ def removed(docs: DataFrame, length: int = LENGTH, digest_only: bool = False) ->
     per = recurring(docs.where(F.octet_length("text") >= length), length).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=SLICE):
             data, off = bytes_of(batch.column("text"))
             edges = np.zeros(len(data) + 1, np.int32)
             spans = batch.column("spans")

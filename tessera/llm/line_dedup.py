@@ -5,13 +5,12 @@ document, then place) stays. Distinct lines are cut into k + 1 segments. Of two
 shorter is in the longer unchanged, moved by no more than the edits before and after it allow, so each line is listed
 under its segments and probes the places where a segment of a line up to k shorter may stand. Lists up to LIST rows give
 their pairs. A longer list is linked to its first line; if some of its lines are too far from that one, all are cut into
-more segments, of which all but k must be equal together, and so on down to segments of two characters. Pairs are verified
-by Spark's banded edit distance.
+twice as many segments, of which all but k must be equal together, where what was equal before still is, and so on down to
+segments of SHORT characters. Pairs are verified by Spark's banded edit distance.
 """
 
 from __future__ import annotations
 
-import json
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +21,9 @@ from tessera.llm.common import components, drop, sent, table, written
 EDITS = 2
 #: Shorter lines (in characters) are only compared for equality.
 LEAST = 20
-#: Rows of a list up to which its pairs are compared.
+#: Rows of a list up to which its pairs are compared; also those of a longer one once its segments have SHORT characters or fewer.
 LIST = 16
+SHORT = 4
 
 
 def _class(n: Column) -> Column:
@@ -69,20 +69,42 @@ def _layouts(edits: int, parts: int) -> list[tuple[int, int, tuple]]:
     return sorted(found)
 
 
-def _stretches(lines: DataFrame, edits: int, parts: int) -> DataFrame:
-    """id, n, key, base, as above, for all but `edits` of `parts` segments together. Only for lines on long lists."""
-    # one literal, parsed once: hundreds of structs built one by one would cost the driver seconds
-    names = ["k", "more", *[f"{c}{i}" for i in range(edits + 1) for c in "ijs"]]
-    kinds = json.dumps([dict(zip(names, (k, more, *(x for s in stretches for x in s)), strict=True)) for k, more, stretches in _layouts(edits, parts)])
-    kinds = F.from_json(F.lit(kinds), f"array<struct<{', '.join(f'{c}:int' for c in names)}>>")
-    rows = lines.select("id", "line", F.char_length("line").alias("n"), F.explode(kinds).alias("x")).select("id", "line", "n", "x.*")
+def _finer(edits: int, parts: int) -> list[tuple]:
+    """(layout of half as many segments, layout, more, *stretches): which layouts of `parts` segments refine which. The layouts of
+    the coarsest cut refine the layout 0. A layout's number is its place in _layouts."""
+    layouts = _layouts(edits, parts)
+    if parts == 2 * (edits + 1):
+        return [(0, n, more, *(x for s in stretches for x in s)) for n, (_, more, stretches) in enumerate(layouts)]
+    outs, of = list(combinations(range(parts), edits)), {}
+    for n, (k, more, stretches) in enumerate(layouts):
+        of.setdefault((outs[k], more), []).append((n, stretches))
+    coarse, found = list(combinations(range(parts // 2), edits)), []
+    for parent, (k, more, wide) in enumerate(_layouts(edits, parts // 2)):
+        for out in combinations([y for x in coarse[k] for y in (2 * x, 2 * x + 1)], edits):
+            for n, stretches in of[out, more]:
+                # a stretch of the coarse cut lies in one of the finer, and must stand where that one stands
+                if all(s == next(t for x, y, t in stretches if x <= 2 * i and 2 * j <= y) for i, j, s in wide if j > i):
+                    found.append((parent, n, more, *(x for s in stretches for x in s)))
+    return found
+
+
+def _stretches(lines: DataFrame, open_: DataFrame, edits: int, parts: int) -> DataFrame:
+    """id, n, key, base, as above, for all but `edits` of `parts` segments together, of lines on lists that are too long.
+    open_: id, layout (of half as many segments) of those lists. Adds layout, and sig: parities of letters."""
+    names = ["layout", "finer", "more", *[f"{c}{i}" for i in range(edits + 1) for c in "ijs"]]
+    table_ = lines.sparkSession.createDataFrame(_finer(edits, parts), ", ".join(f"{c} int" for c in names))  # of a size that `parts` fixes
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    odd = [F.shiftleft(((F.char_length("line") - F.char_length(F.replace("line", F.lit(c)))) % 2).cast("bigint"), i) for i, c in enumerate(letters)]
+    own = lines.select("id", "line", F.char_length("line").alias("n"), sum(odd[1:], odd[0]).alias("sig"))
+    rows = open_.join(own, "id").join(F.broadcast(table_), "layout").drop("layout").withColumnRenamed("finer", "layout")
     size = F.col("n") - F.col("more")
     cut = lambda i: F.floor(size * F.col(i) / parts).cast("int")
     texts = [F.substr("line", cut(f"i{i}") + F.col(f"s{i}") + 1, cut(f"j{i}") - cut(f"i{i}")) for i in range(edits + 1)]
     still = F.col("more") == 0
     for i in range(edits + 1):
         still = still & (F.col(f"s{i}") == 0)
-    return rows.select("id", "n", F.xxhash64(F.lit(parts), size, "k", *texts).alias("key"), still.alias("base"))
+    where = [F.col(f"{c}{i}") for i in range(edits + 1) for c in "ij"]
+    return rows.select("id", "n", F.xxhash64(F.lit(parts), size, *where, *texts).alias("key"), still.alias("base"), "layout", "sig").distinct()
 
 
 def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -100,16 +122,20 @@ def _close(lines: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
 def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): links between lines (id, line; distinct, LEAST characters or more) within `edits`, not all, but enough that two
     such lines are connected. `edits` is 1 or more."""
-    parts, rows, links = edits + 1, _segments(lines, edits), None
+    parts, links = edits + 1, None
+    rows = _segments(lines, edits).select("*", F.lit(0).alias("layout"), F.lit(0).cast("bigint").alias("sig"))
     while True:
         rows = written(rows, "lz4")
         lists = rows.groupBy("key").agg(F.count("*").alias("len"), F.count_if("base").alias("bases"), F.min_by("id", F.when(F.col("base"), F.col("id"))).alias("head"), F.min("n").alias("least")).where("len > 1 and bases > 0")
-        lists = written(lists.select("key", "len", "head", ((F.col("len") <= LIST) | (F.col("least") <= 2 * parts)).alias("ready")))
+        lists = written(lists.select("key", "len", "head", ((F.col("len") <= LIST) | (F.col("least") <= SHORT * parts)).alias("ready")))
         cut = written(rows.join(sent(lists), "key"))
         drop(rows)
-        short, long_ = cut.where("ready"), cut.where("not ready").select("key", "len", "id", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
-        left, right = (short.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("base").alias(f"base{c}")) for c in "ab")
-        pairs = left.join(right, "key").where(f"a > b and (basea or baseb) and abs(na - nb) <= {edits}").select("a", "b")
+        short = cut.where("ready")
+        long_ = cut.where("not ready").select("key", "len", "id", "layout", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+        left, right = (short.select("key", F.col("id").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "base", "sig")]) for c in "ab")
+        # an edit changes the parities of two letters at most
+        near = f"a > b and (basea or baseb) and abs(na - nb) <= {edits} and bit_count(siga ^ sigb) <= {2 * edits}"
+        pairs = left.join(right, "key").where(near).select("a", "b")
         pairs = written(pairs.union(long_.where("a != b").select("a", "b")).distinct())
         found = written(_close(lines, pairs, edits))
         drop(pairs)
@@ -117,12 +143,12 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         # a long list whose lines are all linked to its first one has nothing more to tell
         linked = long_.join(sent(found.select("a", "b", F.lit(True).alias("linked"))), ["a", "b"], "left").where("linked or a = b")
         settled = linked.groupBy("key").agg(F.count("*").alias("n__"), F.first("len").alias("len")).where("n__ = len").select("key")
-        left_over = written(long_.join(settled, "key", "left_anti").select("id").distinct())
+        open_ = written(long_.join(settled, "key", "left_anti").select("id", "layout").distinct())
         drop(cut)
-        if not left_over.limit(1).count():
+        if not open_.limit(1).count():
             return links
         parts *= 2
-        rows = _stretches(_of(lines, left_over), edits, parts)
+        rows = _stretches(_of(lines, open_.select("id")), open_, edits, parts)
 
 
 def _lines(docs: DataFrame) -> DataFrame:

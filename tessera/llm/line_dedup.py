@@ -11,6 +11,7 @@ segments of SHORT characters. Pairs are verified by Spark's banded edit distance
 
 from __future__ import annotations
 
+import json
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,16 +57,20 @@ def _segments(lines: DataFrame, edits: int) -> DataFrame:
 
 def _layouts(edits: int, parts: int) -> list[tuple[int, int, tuple]]:
     """How a line that is `more` characters longer may hold all but `edits` of `parts` segments: (which are left out, more,
-    for each stretch of segments between: first, end, shift)."""
+    for each stretch of segments between: first, end, shift).
+
+    Edits that are fewer than the segments left out leave room for a neighbour, so neighbours left out together move what
+    follows by no more than they are many."""
     found = set()
     for k, out in enumerate(combinations(range(parts), edits)):
         edge = [-1, *out, parts]
         for more in range(edits + 1):
             for moved in product(range(-edits, edits + 1), repeat=edits - 1):
-                shifts = [0, *moved, more]
-                if sum(abs(x - y) for x, y in zip(shifts, shifts[1:])) <= edits:
-                    stretches = tuple((i + 1, j, s if j > i + 1 else 0) for i, j, s in zip(edge[:-1], edge[1:], shifts, strict=True))
-                    found.add((k, more, stretches))
+                stretches = tuple((i + 1, j, s) for i, j, s in zip(edge[:-1], edge[1:], [0, *moved, more], strict=True))
+                # the first and the last one count even if they are empty: a line's ends are where they are
+                fixed = [(n, s) for n, (i, j, s) in enumerate(stretches) if j > i or n in (0, edits)]
+                if all(abs(s - t) <= m - n for (n, s), (m, t) in zip(fixed, fixed[1:])) and sum(abs(s - t) for (_, s), (_, t) in zip(fixed, fixed[1:])) <= edits:
+                    found.add((k, more, tuple((i, j, s if j > i else 0) for i, j, s in stretches)))
     return sorted(found)
 
 
@@ -92,7 +97,8 @@ def _stretches(lines: DataFrame, open_: DataFrame, edits: int, parts: int) -> Da
     """id, n, key, base, as above, for all but `edits` of `parts` segments together, of lines on lists that are too long.
     open_: id, layout (of half as many segments) of those lists. Adds layout, and sig: parities of letters."""
     names = ["layout", "finer", "more", *[f"{c}{i}" for i in range(edits + 1) for c in "ijs"]]
-    table_ = lines.sparkSession.createDataFrame(_finer(edits, parts), ", ".join(f"{c} int" for c in names))  # of a size that `parts` fixes
+    finer = F.lit(json.dumps([dict(zip(names, x, strict=True)) for x in _finer(edits, parts)]))
+    table_ = lines.sparkSession.range(1).select(F.inline(F.from_json(finer, f"array<struct<{', '.join(f'{c}:int' for c in names)}>>")))  # of a size that `parts` fixes
     letters = "abcdefghijklmnopqrstuvwxyz0123456789"
     odd = [F.shiftleft(((F.char_length("line") - F.char_length(F.replace("line", F.lit(c)))) % 2).cast("bigint"), i) for i, c in enumerate(letters)]
     own = lines.select("id", "line", F.char_length("line").alias("n"), sum(odd[1:], odd[0]).alias("sig"))

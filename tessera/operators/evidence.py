@@ -15,10 +15,10 @@ def longest_prefix(df: DataFrame, address: str, owners: DataFrame, out: str = "o
     An address has few prefixes that end at a slash, so they are listed and meet owners by equality: no theta join."""
     parts = F.split(F.col(address), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    keyed = df.withColumn("__id", F.monotonically_increasing_id())
-    hits = keyed.select("__id", F.explode(prefixes).alias("prefix")).join(owners.select("prefix", F.col("owner").alias("__o")), "prefix")
-    best = hits.groupBy("__id").agg(F.max_by("__o", F.struct(F.length("prefix"), "__o")).alias(out))
-    return keyed.join(best, "__id", "left").drop("__id")
+    # an address is its own key: however often a source is read again, equal addresses have equal owners
+    hits = df.select(address).distinct().select(address, F.explode(prefixes).alias("prefix")).join(owners.select("prefix", F.col("owner").alias("__o")), "prefix")
+    best = hits.groupBy(address).agg(F.max_by("__o", F.struct(F.length("prefix"), "__o")).alias(out))
+    return df.join(best, address, "left")
 
 
 def token_run(df: DataFrame, key: str, text: Column, names: DataFrame, longest: int = 4) -> DataFrame:

@@ -34,8 +34,11 @@ def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Labels shrink to their neighbours' least and are then looked up once more in each round, so rounds grow with the
     logarithm of the longest chain; each round's labels are checkpointed, in the folder that spark.checkpoint.dir names."""
     context = nodes.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # set on a cluster; a single machine gets a folder of its own
-        context.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not context.getCheckpointDir():
+        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster"))
     last = -1

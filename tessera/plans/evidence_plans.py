@@ -179,11 +179,11 @@ def series_visuals(c: Catalogue) -> DataFrame:
 
 @query()
 def list_visuals(c: Catalogue) -> DataFrame:
-    """Covers of the sixty largest lists, none twice (sequential: tested against a loop)."""
+    """Covers of the 120 largest lists, none twice (sequential: tested against a loop)."""
     rows = c.list_members.join(c.counted_items.select(F.col("id").alias("item"), F.concat("title", F.lit("/"), "series").alias("cover"), "recs"), "item")
     top = top_per(rows, ["list"], [F.desc("recs"), F.asc("item")], 12)
-    places = c.lists.orderBy(F.desc("n"), F.asc("id")).limit(60).select(F.col("id").alias("list"), F.row_number().over(Window.orderBy(F.desc("n"), F.asc("id"))).alias("place"))
-    return ev.greedy_covers(top.join(places, "list"), 60).select("list", F.array_join("covers", " ").alias("covers"))
+    places = c.lists.orderBy(F.desc("n"), F.asc("id")).limit(120).select(F.col("id").alias("list"), F.row_number().over(Window.orderBy(F.desc("n"), F.asc("id"))).alias("place"))
+    return ev.greedy_covers(top.join(places, "list"), 120).select("list", F.array_join("covers", " ").alias("covers"))
 
 
 @query(over("items", """, cards AS (SELECT id AS card, CASE WHEN id % 4 = 0 THEN id END AS asin, CASE WHEN id % 4 = 1 THEN id + 1 END AS isbn, CASE WHEN id % 11 = 0 THEN 'another title' ELSE title END AS title, author FROM items),

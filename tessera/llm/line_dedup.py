@@ -22,8 +22,9 @@ from tessera.llm.common import components, drop, sent, table, written
 EDITS = 2
 #: Shorter lines (in characters) are only compared for equality.
 LEAST = 20
-#: Rows of a list up to which its pairs are compared; also those of a longer one once its segments have SHORT characters or fewer.
-LIST = 16
+#: Rows of a list up to which its pairs are compared (by parities of letters first); also those of a longer one once its segments
+#: have SHORT characters or fewer.
+LIST = 128
 SHORT = 4
 
 
@@ -95,13 +96,11 @@ def _finer(edits: int, parts: int) -> list[tuple]:
 
 def _stretches(lines: DataFrame, open_: DataFrame, edits: int, parts: int) -> DataFrame:
     """id, n, key, base, as above, for all but `edits` of `parts` segments together, of lines on lists that are too long.
-    open_: id, layout (of half as many segments) of those lists. Adds layout, and sig: parities of letters."""
+    open_: id, layout (of half as many segments) of those lists. Adds layout."""
     names = ["layout", "finer", "more", *[f"{c}{i}" for i in range(edits + 1) for c in "ijs"]]
     finer = F.lit(json.dumps([dict(zip(names, x, strict=True)) for x in _finer(edits, parts)]))
     table_ = lines.sparkSession.range(1).select(F.inline(F.from_json(finer, f"array<struct<{', '.join(f'{c}:int' for c in names)}>>")))  # of a size that `parts` fixes
-    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
-    odd = [F.shiftleft(((F.char_length("line") - F.char_length(F.replace("line", F.lit(c)))) % 2).cast("bigint"), i) for i, c in enumerate(letters)]
-    own = lines.select("id", "line", F.char_length("line").alias("n"), sum(odd[1:], odd[0]).alias("sig"))
+    own = lines.select("id", "line", F.char_length("line").alias("n"))
     rows = open_.join(own, "id").join(F.broadcast(table_), "layout").drop("layout").withColumnRenamed("finer", "layout")
     size = F.col("n") - F.col("more")
     cut = lambda i: F.floor(size * F.col(i) / parts).cast("int")
@@ -110,7 +109,14 @@ def _stretches(lines: DataFrame, open_: DataFrame, edits: int, parts: int) -> Da
     for i in range(edits + 1):
         still = still & (F.col(f"s{i}") == 0)
     where = [F.col(f"{c}{i}") for i in range(edits + 1) for c in "ij"]
-    return rows.select("id", "n", F.xxhash64(F.lit(parts), size, *where, *texts).alias("key"), still.alias("base"), "layout", "sig").distinct()
+    return rows.select("id", "n", F.xxhash64(F.lit(parts), size, *where, *texts).alias("key"), still.alias("base"), "layout").distinct()
+
+
+def _parities(lines: DataFrame) -> DataFrame:
+    """id, sig: whether each letter and digit stands in the line an odd number of times. An edit changes two of them at most."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    odd = [F.shiftleft(((F.char_length("line") - F.char_length(F.replace("line", F.lit(c)))) % 2).cast("bigint"), i) for i, c in enumerate(letters)]
+    return lines.select("id", sum(odd[1:], odd[0]).alias("sig"))
 
 
 def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -129,22 +135,23 @@ def edit_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): links between lines (id, line; distinct, LEAST characters or more) within `edits`, not all, but enough that two
     such lines are connected. `edits` is 1 or more."""
     parts, links = edits + 1, None
-    rows = _segments(lines, edits).select("*", F.lit(0).alias("layout"), F.lit(0).cast("bigint").alias("sig"))
+    rows = _segments(lines, edits).withColumn("layout", F.lit(0))
     while True:
         rows = written(rows, "lz4")
         lists = rows.groupBy("key").agg(F.count("*").alias("len"), F.count_if("base").alias("bases"), F.min_by("id", F.when(F.col("base"), F.col("id"))).alias("head"), F.min("n").alias("least")).where("len > 1 and bases > 0")
         lists = written(lists.select("key", "len", "head", ((F.col("len") <= LIST) | (F.col("least") <= SHORT * parts)).alias("ready")))
         cut = written(rows.join(sent(lists), "key"))
         drop(rows)
-        short = cut.where("ready")
+        short = cut.where("ready").select("key", "id", "n", "base")
+        parities = written(_parities(_of(lines, short.select("id"))))
+        short = short.join(sent(parities), "id")
         long_ = cut.where("not ready").select("key", "len", "id", "layout", F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
         left, right = (short.select("key", F.col("id").alias(c), *[F.col(x).alias(f"{x}{c}") for x in ("n", "base", "sig")]) for c in "ab")
-        # an edit changes the parities of two letters at most
         near = f"a > b and (basea or baseb) and abs(na - nb) <= {edits} and bit_count(siga ^ sigb) <= {2 * edits}"
         pairs = left.join(right, "key").where(near).select("a", "b")
         pairs = written(pairs.union(long_.where("a != b").select("a", "b")).distinct())
         found = written(_close(lines, pairs, edits))
-        drop(pairs)
+        drop(pairs, parities)
         links = found if links is None else links.union(found)
         # a long list whose lines are all linked to its first one has nothing more to tell
         linked = long_.join(sent(found.select("a", "b", F.lit(True).alias("linked"))), ["a", "b"], "left").where("linked or a = b")

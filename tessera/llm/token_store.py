@@ -219,7 +219,7 @@ def _recipe_digest(doc_id: int | None, start: int, n_tokens: int, root: bytes) -
 
 
 def _with_runs(recipes: DataFrame) -> DataFrame:
-    """Adds run: rows that follow each other in one task, RUN of them at most, have one number."""
+    """Recipes in ascending order of start, dealt by ranges of it, with run: RUN rows that follow each other at most have one number."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,7 +229,8 @@ def _with_runs(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(done, done + b.num_rows) // RUN), *b.columns], ["run", *b.schema.names])
             done += b.num_rows
 
-    return recipes.mapInArrow(number, "run bigint, doc_id bigint, start bigint, n_tokens bigint, root binary, addresses array<binary>")
+    # a task that reads several files would hold stretches of recipes in any order
+    return recipes.repartitionByRange("start").sortWithinPartitions("start").mapInArrow(number, "run bigint, doc_id bigint, start bigint, n_tokens bigint, root binary, addresses array<binary>")
 
 
 def _runs(recipes: DataFrame) -> DataFrame:

@@ -115,15 +115,23 @@ def page_titles(c: Catalogue) -> DataFrame:
 @query("""WITH i AS (SELECT item_id, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS t FROM benchmark), d AS (SELECT doc_id, ' ' || trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) || ' ' AS t FROM documents)
 SELECT doc_id, item_id FROM d JOIN i ON contains(d.t, ' ' || i.t || ' ') WHERE length(i.t) > 0""")
 def benchmark_evidence(c: Catalogue) -> DataFrame:
-    """Benchmark passages found word for word in documents. Candidates meet on a passage's first four words, then containment decides."""
+    """Benchmark passages found word for word in documents. Candidates meet on a hash of a passage's first four words (all, where
+    it has fewer), then containment decides."""
     flat = lambda col: F.trim(F.lower(F.regexp_replace(col, "[^A-Za-z0-9]+", " ")))
-    head = lambda words, at: F.concat_ws(" ", F.slice(words, at, 4))
-    items = c.t("benchmark").select("item_id", flat(F.col("text")).alias("p")).where("p != ''").withColumn("key", head(F.split("p", " "), F.lit(1)))
-    docs = c.t("documents").select("doc_id", flat(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    # four words in a row of every document; only those that open a passage go on
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: head(F.col("w"), i)))).alias("key"))
-    pairs = grams.join(items, "key").select("doc_id", "item_id", "p")
-    both = pairs.join(docs.select("doc_id", "t"), "doc_id")
+    head = lambda words, at, size: F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+    items = c.t("benchmark").select("item_id", flat(F.col("text")).alias("p")).where("p != ''").withColumn("w", F.split("p", " "))
+    items = items.withColumn("n", F.least(F.lit(4), F.size("w")))
+    docs = c.t("documents").select("doc_id", flat(F.col("text")).alias("t"))
+    words, pairs = docs.select("doc_id", F.split("t", " ").alias("w")), None
+    for n in sorted(r.n for r in items.select("n").distinct().collect()):  # 1 to 4
+        places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n))
+        keys = F.transform(places, lambda i: head(F.col("w"), i, n))  # noqa: B023
+        grams = words.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+        found = grams.join(items.where(F.col("n") == n).select("item_id", "p", head(F.col("w"), F.lit(0), n).alias("key")), "key").select("doc_id", "item_id", "p")
+        pairs = found if pairs is None else pairs.union(found)
+    if pairs is None:  # no passages at all
+        return docs.join(items, F.col("t") == F.col("p")).select("doc_id", "item_id")
+    both = pairs.join(docs, "doc_id")
     return both.where(F.concat(F.lit(" "), "t", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("p"), F.lit(" ")))).select("doc_id", "item_id")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, url_templates
+from tessera.llm import decontaminate, hadamard_clusters, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, url_templates
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,5 +17,6 @@ QUERIES = {
     "op8_token_store": token_store.query,
     "op9_telephony": telephony.query,
     "op10_language_id": langid.query,
+    "op12_hadamard_clusters": hadamard_clusters.query,
 }
-ORACLES = {"op4_url_templates": url_templates.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES = {"op4_url_templates": url_templates.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op12_hadamard_clusters": hadamard_clusters.ORACLE_SQL}

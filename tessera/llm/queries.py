@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, hadamard_clusters, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, url_templates
+from tessera.llm import decontaminate, hadamard_clusters, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, turn_repair, url_templates
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,5 +18,6 @@ QUERIES = {
     "op9_telephony": telephony.query,
     "op10_language_id": langid.query,
     "op12_hadamard_clusters": hadamard_clusters.query,
+    "op13_turn_repair": turn_repair.query,
 }
-ORACLES = {"op4_url_templates": url_templates.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op12_hadamard_clusters": hadamard_clusters.ORACLE_SQL}
+ORACLES = {"op4_url_templates": url_templates.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op12_hadamard_clusters": hadamard_clusters.ORACLE_SQL, "op13_turn_repair": turn_repair.ORACLE_SQL}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, hadamard_clusters, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, turn_repair, url_templates
+from tessera.llm import attention_lm, decontaminate, hadamard_clusters, langid, line_dedup, minhash_dedup, mixing, quality_gbt, suffix_dedup, telephony, token_store, turn_repair, url_templates
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_token_store": token_store.query,
     "op9_telephony": telephony.query,
     "op10_language_id": langid.query,
+    "op11_attention_lm": attention_lm.query,
     "op12_hadamard_clusters": hadamard_clusters.query,
     "op13_turn_repair": turn_repair.query,
 }

@@ -1,14 +1,35 @@
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as cp
-from tessera.llm import token_store
-from tests.llm.test_minhash_dedup import brute
+from tessera.llm import decontaminate, token_store
+from tessera.llm.words import words
+from tests.llm.test_mixing import targets
+from tests.llm.test_pipeline_near import kept as near_kept
 
 SF = "/root/testdata/sf0.001"
 
 
+def coverage(item, text):
+    """Bounds on the share of the item's words that tiling marks: the longest common run, and all words in common runs of a seed's length."""
+    (a, ca, *_), (b, cb, *_) = (words(pa.array([x]), space=decontaminate.SEPARATOR) for x in (item, text))
+    a, b = a[: ca[1]].tolist(), b[: cb[1]].tolist()
+    if not a:
+        return 0.0, 0.0
+    size = min(decontaminate.MATCH, len(a))
+    runs = {tuple(b[i : i + size]) for i in range(len(b) - size + 1)}
+    starts = [i for i in range(len(a) - size + 1) if tuple(a[i : i + size]) in runs]
+    longest, joined = 0, " ".join(map(str, b)) + " "
+    for i in starts:
+        k = size
+        while i + k <= len(a) and " " + " ".join(map(str, a[i : i + k])) + " " in " " + joined:
+            longest, k = max(longest, k), k + 1
+    return longest / len(a), len({i + k for i in starts for k in range(size)}) / len(a)
+
+
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
@@ -22,16 +43,24 @@ def test_stages_by_brute_force(spark):
     before, after = kept["language_id"]
     assert after.count() >= 0.98 * before.count()
     before, after = kept["near_duplicates"]
-    rows = before.orderBy("doc_id").collect()
-    want = {rows[i].doc_id for i, (_, root) in enumerate(brute([r.text for r in rows])) if i == root}
-    assert {r.doc_id for r in after.collect()} == want
+    assert {r.doc_id for r in after.collect()} == near_kept([(r.doc_id, r.text) for r in before.collect()], cp.NEAR)
     before, after = kept["decontamination"]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()}
-    assert {r.doc_id for r in before.collect() if any(i in r.text for i in items)} <= gone
+    stays = {r.doc_id for r in after.collect()}
+    assert 0 < before.count() - len(stays) < before.count() / 2
+    for r in before.collect():
+        least, most = zip(*(coverage(i, r.text) for i in items), strict=True)
+        assert max(least) < decontaminate.THRESHOLD if r.doc_id in stays else max(most) >= decontaminate.THRESHOLD, r.doc_id
     before, after = kept["mixing"]
-    words = lambda df: sum(len(r.text.split()) for r in df.collect())
-    assert 0.6 * words(before) <= words(after) <= 0.9 * words(before)
+    sizes, taken, largest = ({} for _ in range(3))
+    for df, out in ((before, sizes), (after, taken)):
+        for r in df.collect():
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+            out[r.source] = out.get(r.source, 0) + n
+            largest[r.source] = max(largest.get(r.source, 0), n)
+    # a document stays if at least half of it is taken, so each source is within its cut documents of its target
+    for source, target in targets(sizes, cp.MIX, cp.ONCE).items():
+        assert abs(taken.get(source, 0) - target) <= 2 * largest[source] + 0.03 * target, source
     out = cp.STAGES[-1][1](spark, docs, SF).orderBy("doc_id").collect()
     from tokenizers import Tokenizer
 

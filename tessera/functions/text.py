@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +31,52 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, r"[\s-]+", "-"), "^-+|-+$", "")
 
 
+@functools.lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """From Unicode's compatibility decompositions without combining marks: letters (and vowel signs) that become one letter, what they become (marks
+    to drop follow without a partner), and letters that become several. Hangul syllables are left to a rule of their own."""
+    one, many, marks = {}, {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        ch = chr(code)
+        if unicodedata.combining(ch):
+            marks.append(ch)
+        elif unicodedata.category(ch)[0] in "LM" and not 0xAC00 <= code <= 0xD7A3:
+            flat = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+            if flat != ch:
+                (one if len(flat) == 1 else many)[ch] = flat
+    return "".join(one) + "".join(marks), "".join(one.values()), many
+
+
+def _ranges(chars: list[str]) -> str:
+    """A regular expression's class of these characters, neighbours as ranges."""
+    out, codes = "", sorted(map(ord, chars))
+    begin = codes[0]
+    for a, b in zip(codes, [*codes[1:], -1], strict=True):
+        if b != a + 1:
+            out += rf"\x{{{begin:X}}}-\x{{{a:X}}}"
+            begin = b
+    return f"[{out}]"
+
+
+def fold_accents(c: Column) -> Column:
+    """Letters without their marks and in their plain forms: NFKD without combining marks, for all letters of Unicode.
+
+    Letters that fall into several, ligatures and Hangul, are looked up one by one, and only in texts that hold any."""
+    whence, to, many = _decompositions()
+    # one literal, made a map while the plan is optimised
+    table = F.str_to_map(F.lit("\x1e".join(f"{a}\x1f{b}" for a, b in many.items())), F.lit("\x1e"), F.lit("\x1f"))
+    lead, vowel, tail = ("".join(chr(x) for x in range(a, a + n)) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def jamo(x: Column) -> Column:
+        at = F.ascii(x) - 0xAC00
+        pick = lambda letters, i: F.substring(F.lit(letters), i.cast("int"), F.lit(1))
+        return F.concat(pick(lead, F.floor(at / 588) + 1), pick(vowel, F.floor(at % 588 / 28) + 1), F.when(at % 28 > 0, pick(tail, at % 28)).otherwise(F.lit("")))
+
+    rare = _ranges([*many, *map(chr, (0xAC00, 0xD7A3))]) if many else "[\uAC00-\uD7A3]"
+    single = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.between("\uac00", "\ud7a3"), jamo(x)).otherwise(F.coalesce(F.try_element_at(table, x), x))), "")
+    return F.translate(F.when(c.rlike(rare + "|[\uAC00-\uD7A3]"), single).otherwise(c), whence, to)
+
+
 def squash(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 

@@ -28,25 +28,30 @@ def ladder(left: DataFrame, right: DataFrame, tiers: list[tuple[str, Column, Col
     return out.withColumns({"match": match, "outcome": outcome}).select(*left.columns, "match", "outcome")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder that spark.checkpoint.dir names (on one machine without that setting, to a temporary one) and read back."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
 def clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """id, cluster (the smallest id reachable over links a, b). nodes: id.
 
     Labels shrink to their neighbours' least and are then looked up once more in each round, so rounds grow with the
     logarithm of the longest chain; each round's labels are checkpointed, in the folder that spark.checkpoint.dir names."""
-    context = nodes.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (context.master == "local" or context.master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
+    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = nodes.select("id", F.col("id").alias("cluster"))
     last = -1
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("low"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"))
         hop = step.join(step.select(F.col("id").alias("cluster"), F.col("cluster").alias("via")), "cluster").select("id", F.least("cluster", "via").alias("cluster"))
-        labels = hop.checkpoint()
+        labels = checkpointed(hop)
         total = labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
         if total == last:
             return labels

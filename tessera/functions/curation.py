@@ -52,23 +52,30 @@ def parent_of(category: Column) -> Column:
     return out
 
 
-def candidate_score(title: Column, author: Column, other_title: Column, other_author: Column, isbn: Column) -> Column:
-    """struct(score, method): how surely a candidate is the book, from 1.00 (its number) down to 0.15."""
-    core = lambda c: folded(F.regexp_replace(c, r"\s*[:;(\[].*$", ""))
-    last = lambda c: F.element_at(F.split(folded(c), " "), -1)
-    t, u, a, b = folded(title), folded(other_title), folded(author), folded(F.coalesce(other_author, F.lit("")))
-    full, same = (t != "") & (t == u), (core(title) != "") & (core(title) == core(other_title))
-    part = (t != "") & (u != "") & (u.contains(t) | t.contains(u))
-    whole = (a != "") & (a == b)
-    by = (F.length(last(author)) >= 4) & ((last(author) == b) | (last(author) == last(F.coalesce(other_author, F.lit("")))))
+def score_parts(title: Column, author: Column) -> Column:
+    """struct<t, core, a, last>: what candidates are compared by, worked out once for each side."""
+    core, a = folded(F.regexp_replace(title, r"\s*[:;(\[].*$", "")), folded(F.coalesce(author, F.lit("")))
+    return F.struct(folded(title).alias("t"), core.alias("core"), a.alias("a"), F.element_at(F.split(a, " "), -1).alias("last"))
+
+
+def score_of(x: Column, y: Column, isbn: Column) -> Column:
+    """struct(score, method): how surely a candidate y is the book x (both score_parts), from 1.00 (its number) down to 0.15."""
+    full, same = (x["t"] != "") & (x["t"] == y["t"]), (x["core"] != "") & (x["core"] == y["core"])
+    part = (x["t"] != "") & (y["t"] != "") & (y["t"].contains(x["t"]) | x["t"].contains(y["t"]))
+    whole, by, unsigned = (x["a"] != "") & (x["a"] == y["a"]), (F.length(x["last"]) >= 4) & ((x["last"] == y["a"]) | (x["last"] == y["last"])), y["a"] == ""
     ladder = [
-        (isbn, 1.0, "isbn"), (full & whole, 0.97, "full+author"), (same & whole, 0.93, "core+author"), (full & by, 0.9, "full+last"), (same & by, 0.87, "core+last"), (full & (b == ""), 0.65, "full"),
-        (same & (b != "") & ~by, 0.4, "core+mismatch"), (part & by, 0.55, "part+last"), (part & (b == ""), 0.3, "part"), (same, 0.5, "core"),
+        (isbn, 1.0, "isbn"), (full & whole, 0.97, "full+author"), (same & whole, 0.93, "core+author"), (full & by, 0.9, "full+last"), (same & by, 0.87, "core+last"), (full & unsigned, 0.65, "full"),
+        (same & ~unsigned & ~by, 0.4, "core+mismatch"), (part & by, 0.55, "part+last"), (part & unsigned, 0.3, "part"), (same, 0.5, "core"),
     ]
-    score, method = F.lit(0.15), F.lit("fuzzy")
+    found = F.struct(F.lit(0.15).alias("score"), F.lit("fuzzy").alias("method"))
     for cond, s, name in reversed(ladder):
-        score, method = F.when(cond, s).otherwise(score), F.when(cond, name).otherwise(method)
-    return F.struct(score.alias("score"), method.alias("method"))
+        found = F.when(cond, F.struct(F.lit(s).alias("score"), F.lit(name).alias("method"))).otherwise(found)
+    return found
+
+
+def candidate_score(title: Column, author: Column, other_title: Column, other_author: Column, isbn: Column) -> Column:
+    """score_of two titles and authors as they are written."""
+    return score_of(score_parts(title, author), score_parts(other_title, other_author), isbn)
 
 
 def year_conflict(a: Column, b: Column) -> Column:

@@ -60,7 +60,7 @@ _CORE = FOLD.format("regexp_replace({}, '\\s*[:;(\\[].*$', '')")
 
 @query(over("items", f""", a AS (SELECT id, series, kind, title || CASE WHEN price > 1000 THEN ': a ' || lower(kind) ELSE '' END AS title, replace(series, '#', '') || ' ' || kind AS author FROM items),
 b AS (SELECT id AS cand, series, kind, title || CASE WHEN size > 40 THEN ' (' || size || ')' WHEN size > 30 THEN ' again' ELSE '' END AS ct, CASE WHEN price > 1050 THEN '' WHEN price > 980 THEN kind WHEN price > 940 THEN 'Someone Else' ELSE replace(series, '#', '') || ' ' || kind END AS ca, price > 1095 AS isbn, size FROM items),
-p AS (SELECT id, cand, isbn, {FOLD.format('title')} AS t, {FOLD.format('ct')} AS u, {_CORE.format('title')} AS tc, {_CORE.format('ct')} AS uc, {FOLD.format('author')} AS a, {FOLD.format('ca')} AS b FROM a JOIN b USING (series, kind) WHERE id <> cand AND size % 5 = 0),
+p AS (SELECT id, cand, isbn, {FOLD.format('title')} AS t, {FOLD.format('ct')} AS u, {_CORE.format('title')} AS tc, {_CORE.format('ct')} AS uc, {FOLD.format('author')} AS a, {FOLD.format('ca')} AS b FROM a JOIN b USING (series, kind) WHERE id <> cand),
 q AS (SELECT *, split_part(a, ' ', -1) AS la, split_part(b, ' ', -1) AS lb FROM p),
 x AS (SELECT *, t <> '' AND t = u AS full_, tc <> '' AND tc = uc AS same, t <> '' AND u <> '' AND (contains(u, t) OR contains(t, u)) AS part, a <> '' AND a = b AS whole, length(la) >= 4 AND (la = b OR la = lb) AS by_ FROM q),
 s AS (SELECT id, cand, CASE WHEN isbn THEN 1.0 WHEN full_ AND whole THEN 0.97 WHEN same AND whole THEN 0.93 WHEN full_ AND by_ THEN 0.9 WHEN same AND by_ THEN 0.87 WHEN full_ AND b = '' THEN 0.65 WHEN same AND b <> '' AND NOT by_ THEN 0.4 WHEN part AND by_ THEN 0.55 WHEN part AND b = '' THEN 0.3 WHEN same THEN 0.5 ELSE 0.15 END::DOUBLE AS score,
@@ -71,9 +71,14 @@ def candidate_scores(c: Catalogue) -> DataFrame:
     a = c.items.select("id", "series", "kind", F.concat("title", F.when(F.col("price") > 1000, F.concat(F.lit(": a "), F.lower("kind"))).otherwise("")).alias("title"), F.concat_ws(" ", F.replace("series", F.lit("#"), F.lit("")), "kind").alias("author"))
     tail = F.when(F.col("size") > 40, F.concat(F.lit(" ("), F.col("size").cast("string"), F.lit(")"))).when(F.col("size") > 30, " again").otherwise("")
     by = F.when(F.col("price") > 1050, "").when(F.col("price") > 980, F.col("kind")).when(F.col("price") > 940, "Someone Else").otherwise(F.concat_ws(" ", F.replace("series", F.lit("#"), F.lit("")), "kind"))
-    b = c.items.where("size % 5 = 0").select(F.col("id").alias("cand"), "series", "kind", F.concat("title", tail).alias("ct"), by.alias("ca"), (F.col("price") > 1095).alias("isbn"))
-    rows = a.join(b, ["series", "kind"]).where("id != cand").withColumn("s", cu.candidate_score(F.col("title"), F.col("author"), F.col("ct"), F.col("ca"), F.col("isbn")))
-    return top_per(rows.select("id", "cand", "s.score", "s.method"), ["id"], [F.desc("score"), F.asc("cand")], 3, "k").select("id", "cand", "score", "method")
+    b = c.items.select(F.col("id").alias("cand"), "series", "kind", F.concat("title", tail).alias("ct"), by.alias("ca"), (F.col("price") > 1095).alias("isbn"))
+    # what is equal is compared once: items that read alike, with candidates that read alike, of which four at most can matter to anybody
+    mine, theirs = ["series", "kind", "title", "author"], ["series", "kind", "ct", "ca", "isbn"]
+    few = top_per(b, theirs, [F.asc("cand")], 4, "k").groupBy(*theirs).agg(F.collect_list("cand").alias("cands")).withColumn("y", cu.score_parts(F.col("ct"), F.col("ca")))
+    ours = a.select(*mine).distinct().withColumn("x", cu.score_parts(F.col("title"), F.col("author")))
+    pairs = ours.join(few.select("series", "kind", "isbn", "cands", "y"), ["series", "kind"]).withColumn("s", cu.score_of(F.col("x"), F.col("y"), F.col("isbn")))
+    best = top_per(pairs.select(*mine, "s.score", "s.method", F.explode("cands").alias("cand")), mine, [F.desc("score"), F.asc("cand")], 4, "k").drop("k")
+    return top_per(a.join(best, mine).where("id != cand"), ["id"], [F.desc("score"), F.asc("cand")], 3, "k").select("id", "cand", "score", "method")
 
 
 @query(over("items", """, y AS (SELECT l_partkey AS id, min(year(l_shipdate)) + (l_partkey % 7) AS y FROM lineitem GROUP BY l_partkey), e AS (SELECT items.id, title, series, kind, y FROM items JOIN y USING (id))
@@ -207,17 +212,17 @@ def misattributed_posts(c: Catalogue) -> DataFrame:
     return h.join(t, ["item", "author"], "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"))
 
 
-@query(over("recs_ items", f""", l AS (SELECT {FOLD.format('title')} AS k, min(author) AS author FROM items WHERE size > 20 AND price < 1000 GROUP BY 1, author), r AS (SELECT rec_id, {FOLD.format('title')} AS k, author, source FROM recs_ JOIN items ON item = id WHERE person % 10 = 3),
-h AS (SELECT rec_id, source, count(l.k) AS listed, count(*) FILTER (WHERE l.author = r.author) AS agree FROM r LEFT JOIN l ON r.k = l.k GROUP BY 1, 2)
-SELECT CASE WHEN listed = 0 THEN 'no_match' WHEN agree = 0 THEN 'author_mismatch' WHEN source % 4 = 0 THEN 'already_own' ELSE 'proposed' END AS outcome, count(*) AS n FROM h GROUP BY 1"""))
+@query(over("recs_ items", f""", l AS (SELECT DISTINCT {FOLD.format('title')} AS k, author FROM items WHERE size > 20 AND price < 1000), r AS (SELECT rec_id, {FOLD.format('title')} AS k, author, source FROM recs_ JOIN items ON item = id),
+h AS (SELECT rec_id, source, k IN (SELECT k FROM l) AS listed, (k, author) IN (SELECT (k, author) FROM l) AS agree FROM r)
+SELECT rec_id, CASE WHEN NOT listed THEN 'no_match' WHEN NOT agree THEN 'author_mismatch' WHEN source % 4 = 0 THEN 'already_own' ELSE 'proposed' END AS outcome FROM h"""))
 def own_list_sources(c: Catalogue) -> DataFrame:
-    """Rows that a person's own list bears out: by loose title, and by author where both are known."""
+    """Whether a person's own list bears out a row: by loose title, and by author where both are known."""
     k = cu.folded(F.col("title"))
-    listed = c.items.where("size > 20 and price < 1000").select(k.alias("k"), F.col("author").alias("by")).distinct()
-    r = c.recs.where("person % 10 = 3").join(c.items.select(F.col("id").alias("item"), "title", "author"), "item").withColumn("k", k)
-    h = r.join(listed, "k", "left").groupBy("rec_id", "source").agg(F.count("by").alias("listed"), F.count_if(F.col("by") == F.col("author")).alias("agree"))
-    outcome = op.ladder((F.col("listed") == 0, "no_match"), (F.col("agree") == 0, "author_mismatch"), (F.col("source") % 4 == 0, "already_own"), otherwise="proposed")
-    return h.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    listed = c.items.where("size > 20 and price < 1000").select(k.alias("k"), "author").distinct()
+    r = c.recs.join(c.items.select(F.col("id").alias("item"), "title", "author"), "item").withColumn("k", k)
+    h = r.join(listed.select("k").distinct().withColumn("listed", F.lit(True)), "k", "left").join(listed.withColumn("agree", F.lit(True)), ["k", "author"], "left")
+    outcome = op.ladder((F.col("listed").isNull(), "no_match"), (F.col("agree").isNull(), "author_mismatch"), (F.col("source") % 4 == 0, "already_own"), otherwise="proposed")
+    return h.select("rec_id", outcome.alias("outcome"))
 
 
 @query(over("items", f""", e AS (SELECT series AS author, {FOLD.format('title')} AS k, count(*) AS editions, min(id) AS first, max(price) AS dearest, bool_or(kind <> 'ECONOMY') AS english FROM items GROUP BY 1, 2)

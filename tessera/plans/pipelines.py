@@ -84,26 +84,13 @@ def duplicate_clusters(c: Catalogue) -> DataFrame:
     return resolve.clusters(nodes, links)
 
 
-@query(over("list_members", """, pair(kept, retired) AS (VALUES (1::BIGINT, 2), (3, 4), (5, 6), (7, 8), (9, 10)),
-m AS (SELECT kept, retired, item FROM pair JOIN list_members ON list = retired WHERE item NOT IN (SELECT item FROM list_members l WHERE l.list = kept)),
-k AS (SELECT kept, count(*) AS had FROM pair JOIN list_members ON list = kept GROUP BY kept)
-SELECT k.kept, had, count(item) AS moved, had + count(item) AS now FROM k LEFT JOIN m ON m.kept = k.kept GROUP BY k.kept, had"""))
-def list_consolidation(c: Catalogue) -> DataFrame:
-    """Members of a retired list move to the one that stays unless it has them: kept + moved = members afterwards."""
-    pair = c.spark.createDataFrame([(k, k + 1) for k in range(1, 10, 2)], "kept bigint, retired bigint")
-    gone = c.list_members.join(F.broadcast(pair), F.col("list") == F.col("retired")).select(F.col("kept").alias("list"), "item")
-    moved = gone.join(c.list_members, ["list", "item"], "left_anti").groupBy(F.col("list").alias("kept")).agg(F.count("*").alias("moved"))
-    had = c.list_members.join(F.broadcast(pair.select(F.col("kept").alias("list"))), "list").groupBy(F.col("list").alias("kept")).agg(F.count("*").alias("had"))
-    return had.join(moved, "kept", "left").select("kept", "had", F.coalesce("moved", F.lit(0)).alias("moved"), (F.col("had") + F.coalesce("moved", F.lit(0))).alias("now"))
-
-
 @query(over("lists list_members", """, best AS (SELECT nation, arg_min(id, (-quality, id)) AS kept FROM lists GROUP BY nation),
 pair AS (SELECT kept, id AS retired FROM lists JOIN best USING (nation) WHERE id <> kept),
 m AS (SELECT DISTINCT kept, item FROM pair JOIN list_members ON list = retired WHERE NOT EXISTS (SELECT 1 FROM list_members l WHERE l.list = kept AND l.item = list_members.item)),
 g AS (SELECT kept, count(*) AS moved FROM m GROUP BY kept)
 SELECT p.kept, n AS had, coalesce(moved, 0) AS moved, n + coalesce(moved, 0) AS now FROM (SELECT DISTINCT kept FROM pair) p JOIN lists ON id = p.kept LEFT JOIN g ON g.kept = p.kept"""))
-def list_consolidation_all(c: Catalogue) -> DataFrame:
-    """The same for all lists: of the lists of one nation the one of best quality (then least id) stays and the others retire into it; an item moves once."""
+def list_consolidation(c: Catalogue) -> DataFrame:
+    """Of the lists of one nation the one of best quality (then least id) stays and the others retire into it; an item moves once."""
     lists = c.lists.select("id", "nation", "quality", "n")
     best = lists.groupBy("nation").agg(F.min_by("id", F.struct(-F.col("quality"), "id")).alias("kept"))
     pair = lists.join(best, "nation").where("id != kept").select("kept", F.col("id").alias("retired"))

@@ -36,19 +36,9 @@ def enrichment_pick(c: Catalogue) -> DataFrame:
     return best.select("k", F.round("score", 6).alias("score"), "author", "kind")
 
 
-@query(over("items", """, m AS (SELECT series, title FROM items WHERE size > 25), w AS (SELECT DISTINCT series, title FROM items WHERE size <= 10)
-SELECT series, title FROM w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.series = w.series AND m.title = w.title) AND series IN (SELECT series FROM m) AND split_part(title, ' ', 2) = 'anvil'
-AND NOT EXISTS (SELECT 1 FROM m WHERE m.series = w.series AND m.title <> w.title AND (2.0 * (length(m.title) + length(w.title) - levenshtein(m.title, w.title))) / (2 * (length(m.title) + length(w.title))) >= 2)"""))
-def missing_works(c: Catalogue) -> DataFrame:
-    """Works of a series' author that the series lacks (here: short titles, so only equal ones are alike; the parts that end alike are compared by similarity)."""
-    have = c.items.where("size > 25").select("series", F.col("series").alias("author"), "title")
-    works = c.items.where("size <= 10 and split_part(title, ' ', 2) = 'anvil'").select(F.col("series").alias("author"), "title").distinct()
-    return research.missing_works(have, works, 0.999)
-
-
 @query()
-def missing_works_all(c: Catalogue) -> DataFrame:
-    """The same over the works of all items and by similarity (no SQL for it: tested against difflib). Members are the items of more than 25, as above."""
+def missing_works(c: Catalogue) -> DataFrame:
+    """Works of a series' author that the series lacks, by similarity (no SQL for it: tested against difflib). Members are the items of more than 25."""
     have = c.items.where("size > 25").select("series", F.col("series").alias("author"), "title")
     works = c.items.select(F.col("series").alias("author"), "title").distinct()
     return research.missing_works(have, works, 0.85)

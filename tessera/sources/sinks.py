@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.resolve import checkpointed
+
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -35,9 +37,14 @@ def keep_larger(target: DataFrame, rows: DataFrame, keys: list[str], value: str)
 def batches(df: DataFrame, order: list, pilot: int, size: int) -> DataFrame:
     """Adds batch: 0 for the first `pilot` rows in order, then 1, 2, ... of `size` rows each.
 
-    Rows of a plan for people to approve: thousands, so one ordered pass is enough."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return df.withColumn("batch", F.when(n <= pilot, F.lit(0)).otherwise(1 + F.floor((n - pilot - 1) / size)).cast("int"))
+    Rows are dealt by ranges of the order and counted where they lie; one number for each range tells how many come before it."""
+    dealt = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    per = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = per.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    n = place + F.col("__before") + 1
+    out = dealt.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each range
+    return out.withColumn("batch", F.when(n <= pilot, F.lit(0)).otherwise(1 + F.floor((n - pilot - 1) / size)).cast("int")).select(*df.columns, "batch")
 
 
 def manifest(df: DataFrame, key: str, payload: Column) -> DataFrame:

@@ -21,7 +21,7 @@ def test_missing_works_of_all_items(spark):
         if r["size"] > 25:
             have.setdefault(r.series, set()).add(norm(r.title))
     want = {(r.series, r.title) for r in items if r.series in have and max(alike(norm(r.title), t) for t in have[r.series]) < 0.85}
-    assert {tuple(r) for r in QUERIES["missing_works_all"](spark, SF).collect()} == want
+    assert {tuple(r) for r in QUERIES["missing_works"](spark, SF).collect()} == want
     assert {t.split()[1] for _, t in want} > {"anvil"}
 
 
@@ -36,7 +36,7 @@ def test_every_list_stays_or_retires(spark):
         had, moved = members.get(kept.id, set()), set().union(*(members.get(r.id, set()) for r in retired))
         if retired:
             want.add((kept.id, len(had), len(moved - had), len(had | moved)))
-    assert {tuple(r) for r in QUERIES["list_consolidation_all"](spark, SF).collect()} == want
+    assert {tuple(r) for r in QUERIES["list_consolidation"](spark, SF).collect()} == want
 
 
 def test_all_comparable_shelves(spark):
@@ -45,7 +45,7 @@ def test_all_comparable_shelves(spark):
         shelves.setdefault(r.person, set()).add(r.item)
     big = {p: i for p, i in shelves.items() if len(i) >= 20}
     pairs = {(a, b) for a in big for b in big if a < b and len(big[a] & big[b]) >= 6}
-    got = QUERIES["shelf_parts_all"](spark, SF).collect()
+    got = QUERIES["shelf_only_a_b"](spark, SF).collect()
     assert {(r.a, r.b) for r in got} == pairs and pairs
     for part, of in (("shared", lambda x, y: x & y), ("only_a", lambda x, y: x - y), ("only_b", lambda x, y: y - x)):
         mine = [r for r in got if r.part == part]

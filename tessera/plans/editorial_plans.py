@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import hygiene as hy
+from tessera.functions.text import fold_accents
 from tessera.operators import cards, rules, similarity
 from tessera.plans.registry import query
 from tessera.sources.mapping import Catalogue, over, pick
@@ -66,6 +67,13 @@ def description_hygiene(c: Catalogue) -> DataFrame:
     return rows.select("id", F.array_join("tags", ",").alias("tags"), "e.action", "e.confidence", F.col("c.passes").alias("passes"), F.md5("c.text").alias("clean"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents""")
+def folded_slugs(c: Catalogue) -> DataFrame:
+    """Slugs of the documents' first 60 characters, letters with marks as the letters they are made of."""
+    flat = F.lower(fold_accents(F.substring("text", 1, 60)))
+    return c.t("documents").select("doc_id", F.trim(F.regexp_replace(flat, "[^a-z0-9]+", "-"), F.lit("-")).alias("slug"))
+
+
 # ---- drafts ----
 
 #: What a draft must have, what makes it specific, what its warnings hold. (rule, role, dimension, kind, field, pattern, low, high, weight)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.match import tokens
+from tessera.operators.resolve import clusters
 
 
 def longest_prefix(df: DataFrame, address: str, owners: DataFrame, out: str = "owner") -> DataFrame:
@@ -34,6 +35,21 @@ def token_run(df: DataFrame, key: str, text: Column, names: DataFrame, longest:
     return best.select(key, F.when(F.col("k") == 1, F.col("owner")).alias("owner"), F.when(F.col("k") == 1, "owned").otherwise("ambiguous").alias("outcome"))
 
 
+def aliased(names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """name, owner: every name that leads to an owner's, over any number of pairs. names: name, owner; pairs: a, b, names of one person.
+
+    Names are compared as token_run compares them. Where pairs join the names of several owners, each name has them all, and
+    token_run refuses it under whichever name it comes."""
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    own = names.select(key(F.col("name")).alias("name"), "owner").where("name != ''").distinct()
+    links = pairs.select(key(F.col("a")).alias("x"), key(F.col("b")).alias("y")).where("x != '' and y != ''")
+    every = own.select("name").union(links.select("x")).union(links.select("y")).distinct().select("name", F.xxhash64("name").alias("id"))
+    group = clusters(every.select("id"), links.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")))
+    grouped = every.join(group, "id").select("name", "cluster")
+    owners = own.join(grouped, "name").select("cluster", "owner").distinct()
+    return grouped.join(owners, "cluster").select("name", "owner")
+
+
 def common_to_all(df: DataFrame, group: str, member: str, value: str) -> DataFrame:
     """group, value: values that every member of a group has, from counts (no sets are collected)."""
     d = df.select(group, member, value).distinct()

@@ -70,6 +70,24 @@ def token_runs(c: Catalogue) -> DataFrame:
     return ev.token_run(c.items, "id", text, names)
 
 
+@query(over("recs_ people", """, names AS (SELECT id AS owner, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS run FROM people),
+pair AS (SELECT run AS a, 'c' || owner || ' pen' AS b FROM names UNION ALL SELECT 'p' || owner || ' nom', 'c' || owner || ' pen' FROM names WHERE owner % 3 <> 0 UNION ALL SELECT 'c' || owner || ' pen', 'c' || (owner + 1) || ' pen' FROM names WHERE owner % 50 = 7),
+e AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair), reach(run, other) AS (SELECT run, run FROM names UNION SELECT r.run, e.b FROM reach r JOIN e ON e.a = r.other),
+owned AS (SELECT other AS run, min(owner) AS owner, count(DISTINCT owner) AS n FROM reach JOIN names USING (run) GROUP BY other),
+t AS (SELECT rec_id, CASE rec_id % 3 WHEN 0 THEN trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) WHEN 1 THEN 'c' || person || ' pen' ELSE 'p' || person || ' nom' END AS run FROM recs_ JOIN people ON person = id)
+SELECT DISTINCT rec_id, CASE WHEN n = 1 THEN owner END AS owner, CASE WHEN n = 1 THEN 'owned' ELSE 'ambiguous' END AS outcome FROM t JOIN owned USING (run)""", recursive=True))
+def alias_owners(c: Catalogue) -> DataFrame:
+    """Whose a line is that names a person by the name we hold, by a pen name, or by a name known only as the pen name's."""
+    people = c.people.select("id", "name")
+    pen, nom = (F.concat(F.lit(a), F.col("id").cast("string"), F.lit(b)) for a, b in (("C", " Pen"), ("P", "-Nom")))
+    after = F.concat(F.lit("C"), (F.col("id") + 1).cast("string"), F.lit(" Pen"))
+    pairs = people.select(F.col("name").alias("a"), pen.alias("b")).union(people.where("id % 3 != 0").select(nom, pen)).union(people.where("id % 50 = 7").select(pen, after))
+    names = ev.aliased(people.select("name", F.col("id").alias("owner")), pairs)
+    lines = c.recs.join(people.select(F.col("id").alias("person"), "name"), "person").withColumn("id", F.col("person"))
+    line = F.concat(F.lit("Words of "), F.when(F.col("rec_id") % 3 == 0, F.col("name")).when(F.col("rec_id") % 3 == 1, pen).otherwise(nom), F.lit(", quoted."))
+    return ev.token_run(lines, "rec_id", line, names)
+
+
 @query(over("items", """, d AS (SELECT DISTINCT title, size > 25 AS part, series FROM items), m AS (SELECT title, count(DISTINCT part) AS members FROM d GROUP BY title)
 SELECT title, series FROM d JOIN m USING (title) GROUP BY title, series, members HAVING count(DISTINCT part) = members"""))
 def common_quotes(c: Catalogue) -> DataFrame:

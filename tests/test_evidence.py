@@ -78,3 +78,15 @@ def test_common_and_fuzzy(spark):
     a = spark.createDataFrame([(1, "Ann B Lee"), (2, "Bo Xi"), (3, "Cy"), (4, None)], "id int, t string")
     b = spark.createDataFrame([(10, "lee, ann b"), (20, "Xi Bo"), (21, "bo xi"), (30, "Cy Y")], "id int, t string")
     assert {r.id: (r.match, r.outcome) for r in ev.fuzzy_unique(a, b, "t").collect()} == {1: (10, "match"), 2: (None, "ambiguous"), 3: (None, "none"), 4: (None, "none")}
+
+
+def test_every_name_of_a_person_has_the_same_owner(spark):
+    names = spark.createDataFrame([("Ann Lee", 1), ("Bo Chan", 2), ("Cy Dee", 3), ("", 9)], "name string, owner int")
+    pairs = spark.createDataFrame([("ann  LEE", "A. Pen"), ("A Pen", "Nom"), ("Nom", "Other Nom"), ("Bo Chan", "Shared"), ("Shared", "Cy Dee"), ("Loose", "Ends"), ("", "Ann Lee")], "a string, b string")
+    got = {}
+    for r in ev.aliased(names, pairs).collect():
+        got.setdefault(r.name, set()).add(r.owner)
+    assert got == {"ann lee": {1}, "a pen": {1}, "nom": {1}, "other nom": {1}, "bo chan": {2, 3}, "shared": {2, 3}, "cy dee": {2, 3}}
+    lines = spark.createDataFrame([(1, "by Ann Lee."), (2, "by A. PEN"), (3, "other nom!"), (4, "Shared"), (5, "Loose")], "id int, t string")
+    found = {r.id: (r.owner, r.outcome) for r in ev.token_run(lines, "id", F.col("t"), ev.aliased(names, pairs)).collect()}
+    assert found == {1: (1, "owned"), 2: (1, "owned"), 3: (1, "owned"), 4: (None, "ambiguous")}

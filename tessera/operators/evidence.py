@@ -26,13 +26,22 @@ def token_run(df: DataFrame, key: str, text: Column, names: DataFrame, longest:
     """key, owner, outcome: names (name, owner) that stand as a run of whole tokens in a text; the longest wins, several owners of
     that length refuse. Runs of up to `longest` tokens meet names by equality."""
     toks = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    rows = df.select(key, toks.alias("t")).where(F.size("t") > 0)
+    rows = df.select(key, F.array_join(toks, " ").alias("__t")).where("__t != ''")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1)), lambda i: F.array_join(F.slice("t", i, n), " "))))
-    flat = names.select(F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("run"), "owner").where("run != ''")
-    hits = rows.select(key, F.explode(F.array_distinct(runs)).alias("run")).join(flat, "run").withColumn("n", F.size(F.split("run", " ")))
-    top = hits.groupBy(key).agg(F.max("n").alias("n"))
-    best = hits.join(top, [key, "n"]).groupBy(key).agg(F.count_distinct("owner").alias("k"), F.min("owner").alias("owner"))
-    return best.select(key, F.when(F.col("k") == 1, F.col("owner")).alias("owner"), F.when(F.col("k") == 1, "owned").otherwise("ambiguous").alias("outcome"))
+    # least and greatest owner tell whether there is one, and add up before every shuffle: no name, however common, brings a row for each owner
+    span = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    flat = names.select(F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("run"), F.col("owner").alias("lo"), F.col("owner").alias("hi")).where("run != ''").groupBy("run").agg(*span)
+    # a text is its own key: however many rows say the same, its runs are listed once
+    texts = rows.select("__t").distinct().select("__t", F.split("__t", " ").alias("t"))
+    hits = texts.select("__t", F.explode(F.array_distinct(runs)).alias("run")).join(flat, "run").withColumn("n", F.size(F.split("run", " ")))
+
+    def longest_of(found: DataFrame, by: str) -> DataFrame:
+        per = found.groupBy(by, "n").agg(*span)
+        return per.groupBy(by).agg(F.max_by(F.struct("n", "lo", "hi"), "n").alias("top")).select(by, "top.*")
+
+    best = longest_of(rows.join(longest_of(hits, "__t"), "__t"), key)
+    one = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
+    return best.select(key, F.when(one, F.col("lo")).alias("owner"), F.when(one, "owned").otherwise("ambiguous").alias("outcome"))
 
 
 def aliased(names: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -90,3 +90,13 @@ def test_every_name_of_a_person_has_the_same_owner(spark):
     lines = spark.createDataFrame([(1, "by Ann Lee."), (2, "by A. PEN"), (3, "other nom!"), (4, "Shared"), (5, "Loose")], "id int, t string")
     found = {r.id: (r.owner, r.outcome) for r in ev.token_run(lines, "id", F.col("t"), ev.aliased(names, pairs)).collect()}
     assert found == {1: (1, "owned"), 2: (1, "owned"), 3: (1, "owned"), 4: (None, "ambiguous")}
+
+
+def test_equal_texts_and_names_of_many_owners_are_listed_once(spark):
+    names = spark.range(3000).selectExpr("concat('red ring ', id % 3) AS name", "id AS owner").union(spark.createDataFrame([("blue rod", 7), ("blue rod", 7)], "name string, owner bigint"))
+    texts = spark.range(600).selectExpr("id", "concat('a Red-Ring ', id % 3, '!') AS t").union(spark.createDataFrame([(1000, "the blue  rod"), (1001, "blue"), (1000, "rod")], "id bigint, t string"))
+    found = ev.token_run(texts, "id", F.col("t"), names)
+    assert {r.id: (r.owner, r.outcome) for r in found.collect()} == {**{i: (None, "ambiguous") for i in range(600)}, 1000: (7, "owned")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # texts are exploded once, and what is exploded are distinct ones; owners are added up before they meet them
+    assert plan.count("Generate explode") == 1 and plan[plan.index("Generate explode") :].count("Aggregate") >= 1

@@ -154,7 +154,7 @@ def page_cards(c: Catalogue) -> DataFrame:
 
 #: What people hold and what is found, as SQL for both engines: titles and names spelled in other ways.
 _WANT = (
-    "SELECT person * 100000 + item AS cid, person, CASE (item + person) % 8 WHEN 0 THEN upper(title) WHEN 1 THEN replace(title, ' ', '  ') || '!' WHEN 2 THEN title || ' Again' WHEN 3 THEN substr(title, 5) WHEN 4 THEN '' WHEN 5 THEN title || ' (Novel)' ELSE title END AS title, "
+    "SELECT person * 10000000000 + item AS cid, person, CASE (item + person) % 8 WHEN 0 THEN upper(title) WHEN 1 THEN replace(title, ' ', '  ') || '!' WHEN 2 THEN title || ' Again' WHEN 3 THEN substr(title, 5) WHEN 4 THEN '' WHEN 5 THEN title || ' (Novel)' ELSE title END AS title, "
     "CASE (item + person * 3) % 5 WHEN 0 THEN upper(author) WHEN 1 THEN 'X. ' || author WHEN 2 THEN replace(author, '.', '') WHEN 3 THEN 'Nobody Else' ELSE author END AS author FROM held WHERE (person + item) % 3 <> 0"
 )
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[''‘’“”\"`]', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"

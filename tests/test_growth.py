@@ -47,3 +47,14 @@ def test_verdicts_of_equal_rows_are_counted_without_their_pairs(spark, odd_parts
 def test_clusters_on_a_line_need_no_pairs(spark, odd_parts, equal_parts):
     same_as_sql(spark, odd_parts, "duplicate_clusters", ["part"])
     assert QUERIES["duplicate_clusters"](spark, equal_parts).where("cluster = 0").count() == 200_000
+
+
+def test_found_titles_have_ids_of_their_own_for_large_keys(spark, tmp_path):
+    """Items up to 199,000 of people with neighbouring keys."""
+    far = {"part": "p_partkey", "lineitem": "l_partkey"}
+    for t in ("part", "lineitem", "orders", "customer"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        (rows.withColumn(far[t], F.col(far[t]).cast("bigint") * 1000) if t in far else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = QUERIES["scoped_matches"](spark, str(tmp_path)).select("cid")
+    assert got.count() == got.distinct().count()
+    same_as_sql(spark, str(tmp_path), "scoped_matches", ["part", "lineitem", "orders", "customer"])

@@ -44,18 +44,24 @@ def token_run(df: DataFrame, key: str, text: Column, names: DataFrame, longest:
     return best.select(key, F.when(one, F.col("lo")).alias("owner"), F.when(one, "owned").otherwise("ambiguous").alias("outcome"))
 
 
-def aliased(names: DataFrame, pairs: DataFrame) -> DataFrame:
+def aliased(names: DataFrame, pairs: DataFrame, every_owner: bool = True) -> DataFrame:
     """name, owner: every name that leads to an owner's, over any number of pairs. names: name, owner; pairs: a, b, names of one person.
 
     Names are compared as token_run compares them. Where pairs join the names of several owners, each name has them all, and
-    token_run refuses it under whichever name it comes."""
+    token_run refuses it under whichever name it comes. To refuse, two owners do: without every_owner a name of several has the
+    least and the greatest, so that many names of many owners stay as many rows as names."""
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     own = names.select(key(F.col("name")).alias("name"), "owner").where("name != ''").distinct()
     links = pairs.select(key(F.col("a")).alias("x"), key(F.col("b")).alias("y")).where("x != '' and y != ''")
     every = own.select("name").union(links.select("x")).union(links.select("y")).distinct().select("name", F.xxhash64("name").alias("id"))
     group = clusters(every.select("id"), links.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b")))
     grouped = every.join(group, "id").select("name", "cluster")
-    owners = own.join(grouped, "name").select("cluster", "owner").distinct()
+    owners = own.join(grouped, "name").select("cluster", "owner")
+    if every_owner:
+        owners = owners.distinct()
+    else:
+        ends = owners.groupBy("cluster").agg(F.array_distinct(F.array(F.min("owner"), F.max("owner"))).alias("owners"))
+        owners = ends.select("cluster", F.explode("owners").alias("owner"))
     return grouped.join(owners, "cluster").select("name", "owner")
 
 

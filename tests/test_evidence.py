@@ -100,3 +100,12 @@ def test_equal_texts_and_names_of_many_owners_are_listed_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # texts are exploded once, and what is exploded are distinct ones; owners are added up before they meet them
     assert plan.count("Generate explode") == 1 and plan[plan.index("Generate explode") :].count("Aggregate") >= 1
+
+
+def test_names_of_very_many_owners_stay_few_rows(spark):
+    names = spark.range(500).selectExpr("'Ann Lee' AS name", "id AS owner").union(spark.createDataFrame([("Cy Dee", 900)], "name string, owner bigint"))
+    pairs = spark.range(500).selectExpr("'Ann Lee' AS a", "concat('pen ', id) AS b").union(spark.createDataFrame([("Cy Dee", "Nom")], "a string, b string"))
+    few = ev.aliased(names, pairs, every_owner=False)
+    assert few.count() == 2 * 501 + 2
+    lines = spark.createDataFrame([(1, "Ann Lee"), (2, "by pen 77"), (3, "a nom"), (4, "none")], "id int, t string")
+    assert {r.id: (r.owner, r.outcome) for r in ev.token_run(lines, "id", F.col("t"), few).collect()} == {1: (None, "ambiguous"), 2: (None, "ambiguous"), 3: (900, "owned")}

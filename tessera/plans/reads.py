@@ -200,7 +200,9 @@ def role_breakdown(c: Catalogue) -> DataFrame:
     """People by profession. Market segments stand for free-text roles; the earliest keyword of a role decides."""
     told = F.create_map(*[F.lit(x) for x in ("BUILDING", "Co-founder (born 1967); author", "AUTOMOBILE", "Radio presenter and writer", "MACHINERY", "Professor; novelist", "HOUSEHOLD", "Author of a book, investor")])
     role = F.coalesce(F.element_at(told, F.col("role")), F.lit("Philanthropist"))
-    return c.people.select(classify_role(role).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    # a role is classified once, however many people have it
+    roles = c.people.groupBy("role").agg(F.count("*").alias("n"))
+    return roles.select(classify_role(role).alias("bucket"), "n").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 @query(over("people shelves", """, n AS (SELECT person, count(*) AS recs FROM shelves GROUP BY person), f AS (SELECT id, name, quality, recs, right(name, 2) AS surname FROM people JOIN n ON id = person WHERE recs >= 6),

@@ -58,3 +58,13 @@ def test_found_titles_have_ids_of_their_own_for_large_keys(spark, tmp_path):
     got = QUERIES["scoped_matches"](spark, str(tmp_path)).select("cid")
     assert got.count() == got.distinct().count()
     same_as_sql(spark, str(tmp_path), "scoped_matches", ["part", "lineitem", "orders", "customer"])
+
+
+def test_roles_are_classified_once_each(spark, tmp_path):
+    """The classification comes after people of one role are counted together."""
+    rows = spark.read.parquet(f"{SF}/customer.parquet")
+    rows.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["role_breakdown"](spark, str(tmp_path))
+    assert "regexp_instr" not in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[-1]
+    assert sum(r.n for r in found.collect()) == rows.count()
+    same_as_sql(spark, str(tmp_path), "role_breakdown", ["customer"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
+
 #: Hosts by the kind of page they carry.
 YOUTUBE_HOSTS = ["youtube.com", "youtu.be", "m.youtube.com"]
 PODCAST_HOSTS = ["tim.blog", "podcasts.apple.com", "overcast.fm", "pca.st", "pocketcasts.com", "podbay.fm", "castbox.fm", "podcasts.google.com", "stitcher.com", "lexfridman.com", "joincolossus.com", "investorfieldguide.com", "hubermanlab.com", "peterattiamd.com", "jrelibrary.com", "podscripts.co", "happyscribe.com"]
@@ -78,11 +80,19 @@ def split_urls(c: Column) -> Column:
 
 def source_kind(url: Column, slug: Column, name: Column, handle: Column) -> Column:
     """struct<kind, own>: tweet, youtube, own_site, podcast, other or article, and whether the page is the person's own."""
-    host, path, flat = host_of(url), F.lower(path_of(url)), lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
-    tweeter, known = tweet_handle(url), F.lower(F.regexp_replace(F.trim(F.coalesce(handle, F.lit(""))), "^@", ""))
-    theirs = F.when(known != "", tweeter == known).otherwise((F.length(flat(tweeter)) >= 4) & ((flat(tweeter) == flat(slug)) | (flat(tweeter) == flat(name))))
-    last = flat(F.element_at(F.split(F.trim(name), r"\s+"), -1))
-    carries = ((F.length(flat(name)) >= 6) & flat(host).contains(flat(name))) | ((F.length(flat(slug)) >= 6) & flat(host).contains(flat(slug))) | ((F.length(last) >= 5) & flat(F.split(host, r"\.").getItem(0)).contains(last))
-    podcast = on_host(host, PODCAST_HOSTS) | path.rlike(r"(^|[/\-_.])(podcast|podcasts|episode|episodes|ep)([/\-_.]|\d|$)") | host.contains("podcast") | (on_host(host, ["open.spotify.com"]) & path.rlike("/(episode|show)/"))
-    kind = F.when(host.isNull(), "other").when(tweeter.isNotNull(), "tweet").when(on_host(host, YOUTUBE_HOSTS), "youtube").when(carries, "own_site").when(podcast, "podcast").when(on_host(host, [*OTHER_HOSTS]) | host.isin("twitter.com", "x.com"), "other").otherwise("article")
-    return F.struct(kind.alias("kind"), F.coalesce(F.when(kind == "tweet", theirs).otherwise(kind == "own_site"), F.lit(False)).alias("own"))
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    facts = F.struct(
+        host_of(url).alias("host"), F.lower(path_of(url)).alias("path"), tweet_handle(url).alias("tweeter"), F.lower(F.regexp_replace(F.trim(F.coalesce(handle, F.lit(""))), "^@", "")).alias("known"),
+        flat(slug).alias("slug"), flat(name).alias("name"), flat(F.element_at(F.split(F.trim(name), r"\s+"), -1)).alias("last"),
+    )
+
+    def of(x: Column) -> Column:
+        host, path, tweeter, slug, name, last = (x[c] for c in ("host", "path", "tweeter", "slug", "name", "last"))
+        theirs = F.when(x["known"] != "", tweeter == x["known"]).otherwise(once(flat(tweeter), lambda t: (F.length(t) >= 4) & ((t == slug) | (t == name))))
+        at = once(flat(host), lambda h: ((F.length(name) >= 6) & h.contains(name)) | ((F.length(slug) >= 6) & h.contains(slug)))
+        carries = at | ((F.length(last) >= 5) & flat(F.split(host, r"\.").getItem(0)).contains(last))
+        podcast = on_host(host, PODCAST_HOSTS) | path.rlike(r"(^|[/\-_.])(podcast|podcasts|episode|episodes|ep)([/\-_.]|\d|$)") | host.contains("podcast") | (on_host(host, ["open.spotify.com"]) & path.rlike("/(episode|show)/"))
+        kind = F.when(host.isNull(), "other").when(tweeter.isNotNull(), "tweet").when(on_host(host, YOUTUBE_HOSTS), "youtube").when(carries, "own_site").when(podcast, "podcast").when(on_host(host, [*OTHER_HOSTS]) | host.isin("twitter.com", "x.com"), "other").otherwise("article")
+        return once(kind, lambda k: F.struct(k.alias("kind"), F.coalesce(F.when(k == "tweet", theirs).otherwise(k == "own_site"), F.lit(False)).alias("own")))
+
+    return once(facts, of)

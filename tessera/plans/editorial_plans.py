@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import hygiene as hy
 from tessera.functions.text import fold_accents
 from tessera.operators import cards, rules, similarity
+from tessera.operators.relational import spread
 from tessera.plans.registry import query
 from tessera.sources.mapping import Catalogue, over, pick
 
@@ -61,7 +62,7 @@ SELECT id, tags, CASE WHEN fine THEN 'skip' WHEN look THEN 'needs_manual_review'
 @query(over("items", _hygiene_sql()))
 def description_hygiene(c: Catalogue) -> DataFrame:
     """Every description with what is wrong with it, its form after the safe strips have been repeated until nothing changes, and whether that may replace it."""
-    rows = c.spark.sql(_DESCRIBED.replace("FROM items)", "FROM {items})"), items=c.items.select("id", "title"))
+    rows = c.spark.sql(_DESCRIBED.replace("FROM items)", "FROM {items})"), items=spread(c.items.select("id", "title"), "id"))
     rows = rows.withColumns({"t": F.coalesce("text", F.lit("")), "c": hy.cleaned(F.col("text"))}).withColumn("tags", hy.problems(F.col("t"), F.col("title")))
     rows = rows.withColumn("e", hy.evaluated(F.col("t"), F.col("c.text"), F.col("tags")))
     return rows.select("id", F.array_join("tags", ",").alias("tags"), "e.action", "e.confidence", F.col("c.passes").alias("passes"), F.md5("c.text").alias("clean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import html, text, urls
-from tessera.operators.relational import top_per
+from tessera.operators.relational import spread, top_per
 from tessera.plans.registry import query
 from tessera.sources.mapping import Catalogue, over
 
@@ -42,7 +42,7 @@ t AS (SELECT source, unnest(list_filter([CASE WHEN length(trim(text)) < 80 THEN
 SELECT tag, count(*) AS docs, count(DISTINCT source) AS sources FROM t GROUP BY tag""")
 def problem_tags(c: Catalogue) -> DataFrame:
     """How many documents carry each hygiene tag (those that RE2 can check too)."""
-    rows = c.t("documents").select("source", F.explode(text.problem_tags(F.col("text"))).alias("tag")).where(~F.col("tag").isin("repeated_word", "markup", "not_english"))
+    rows = c.t("documents").select("source", F.explode(text.problem_tags(F.col("text"), without=["repeated_word", "markup", "not_english"])).alias("tag"))
     return rows.groupBy("tag").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"))
 
 
@@ -86,7 +86,7 @@ def source_kinds(c: Catalogue) -> DataFrame:
     i, slug = F.col("id"), F.col("slug")
     url = F.when(i % 6 == 0, F.concat(F.lit("https://twitter.com/"), slug, F.lit("/status/1700000000000000000"))).when(i % 6 == 1, F.concat(F.lit("https://www.youtube.com/watch?v="), i.cast("string"))).when(i % 6 == 2, F.concat(F.lit("https://"), slug, F.lit(".com/books")))
     url = url.when(i % 6 == 3, F.concat(F.lit("https://example.org/podcast/episode-"), i.cast("string"))).when(i % 6 == 4, F.concat(F.lit("https://en.wikipedia.org/wiki/"), slug)).otherwise(F.concat(F.lit("https://example.org/interview/"), i.cast("string")))
-    rows = c.people.select(url.alias("url"), "slug", "name").select(urls.source_kind(F.col("url"), F.col("slug"), F.col("name"), F.lit(None).cast("string")).alias("k"), urls.snowflake_year(F.col("url")).alias("year"))
+    rows = spread(c.people.select("id", "slug", "name"), "id").select(url.alias("url"), "slug", "name").select(urls.source_kind(F.col("url"), F.col("slug"), F.col("name"), F.lit(None).cast("string")).alias("k"), urls.snowflake_year(F.col("url")).alias("year"))
     return rows.groupBy(F.col("k.kind").alias("kind"), F.col("k.own").alias("own")).agg(F.count("*").alias("n"), F.max("year").alias("year"))
 
 

@@ -34,9 +34,11 @@ u AS (SELECT seed, other, place, false AS filled FROM p WHERE place <= 6 UNION A
 SELECT seed, other, rank, filled FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY filled, place, other) AS rank FROM u) WHERE rank <= 6"""))
 def related_lists_filled(c: Catalogue) -> DataFrame:
     """Lists with much in common; where they are fewer than six, the largest of the same nation follow."""
-    co = overlap.around(c.list_members, "item", "list", c.t("supplier").select("s_suppkey")).where("shared >= 14")
+    co = overlap.beside(c.list_members, "list", "item", 14)
     first = top_per(co, ["seed"], [F.desc("shared"), F.asc("other")], 6, "place").select("seed", "other", "place")
     here, there = c.lists.select(F.col("id").alias("seed"), "nation"), c.lists.select(F.col("id").alias("other"), "nation", "n")
+    # twelve others of a list's nation are among the nation's first thirteen lists
+    there = top_per(there, ["nation"], [F.desc("n"), F.asc("other")], 13).drop("rank")
     second = top_per(here.join(there, "nation").where("seed != other"), ["seed"], [F.desc("n"), F.asc("other")], 12, "place").select("seed", "other", "place")
     return op.top_up(first, second, "seed", "other", 6)
 

@@ -88,3 +88,35 @@ def test_tags_that_are_not_asked_for_are_not_looked_for(spark):
     got = rows.select(text.problem_tags(F.col("c")).alias("t"), text.problem_tags(F.col("c"), without=["markup", "repeated_word"]).alias("u")).collect()
     assert [r.u for r in got] == [[x for x in r.t if x not in ("markup", "repeated_word")] for r in got]
     assert "shouting" in got[2].t and "shouting" not in got[0].t and "not_english" not in str(QUERIES["problem_tags"](spark, SF)._jdf.queryExecution().optimizedPlan())
+
+
+def test_lists_of_one_nation_are_filled_without_their_pairs(spark, tmp_path):
+    """20,000 lists of one nation: 400 million pairs."""
+    spark.range(20_000).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(1.0).alias("s_acctbal")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert QUERIES["related_lists_filled"](spark, str(tmp_path)).count() == 20_000 * 6
+
+
+def test_topics_of_people_may_have_their_ids(spark, tmp_path):
+    """Lists travel to a person's items as one array; a list with the id of the person is a list like any other."""
+    from tessera.operators import overlap
+
+    shelves, lists = spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "person bigint, item bigint"), spark.createDataFrame([(1, 7), (1, 8), (2, 8)], "person bigint, item bigint")
+    got = overlap.beside(shelves, "person", "item", others=lists, itself=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 2, 1), (2, 1, 1), (2, 2, 1)]
+    assert "collect_list" in QUERIES["person_topics"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_only_pairs_that_may_be_least_alike_are_compared(spark, tmp_path, copies, monkeypatch):
+    """Shelves that share one item at most but for the longest two of it; with more copies of rows, nothing else."""
+    from tessera.operators import overlap
+
+    far = {"orders": "o_custkey", "lineitem": "l_partkey"}
+    for t in ("part", "lineitem", "orders", "customer"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        (rows.withColumn(far[t], F.pmod(F.col(far[t]) * F.col(far[t]), F.lit(61 * copies)) + 1) if t in far else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    asked, kept = [], overlap.shared_of
+    monkeypatch.setattr(overlap, "shared_of", lambda pairs, *more: asked.append(pairs) or kept(pairs, *more))
+    same_as_sql(spark, str(tmp_path), "unlikely_pair", ["part", "lineitem", "orders", "customer"])
+    assert len(asked) <= 2 and all(p.count() for p in asked)

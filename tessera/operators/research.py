@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 
 from tessera.functions import evidence, urls
 from tessera.functions.match import sequence_ratio
+from tessera.operators.resolve import stored
+
+#: Rows of one address from which on they are not brought together: what is known of it is sent to them.
+OFTEN = 200_000
 
 
 def reattributed(recs: DataFrame, owners: DataFrame) -> DataFrame:
@@ -24,13 +28,16 @@ def reattributed(recs: DataFrame, owners: DataFrame) -> DataFrame:
     carries it alone elsewhere, or if it is the one quote that all joined rows with the address share."""
     joined = F.col("source_url").contains("|") | F.coalesce(F.col("quote").contains("|"), F.lit(False))
     rows = recs.where(joined).withColumn("quotes", evidence.segments(F.col("quote")))
-    seg = rows.select("rec_id", "item", "person", "quotes", F.posexplode(evidence.segments(F.col("source_url"))).alias("place", "url")).join(owners, "url", "left")
+    seg = stored(rows.select("rec_id", "item", "person", "quotes", F.posexplode(evidence.segments(F.col("source_url"))).alias("place", "url")))
     alone = recs.where(~joined & F.col("quote").isNotNull()).select(F.trim("source_url").alias("url"), F.trim("quote").alias("known")).distinct()
     spread = seg.select("url", "item", F.explode("quotes").alias("q")).distinct()
     items = seg.select("url", "item").distinct().groupBy("url").agg(F.count("*").alias("items")).where("items > 1")
     shared = spread.groupBy("url", "q").agg(F.count("*").alias("n")).join(items, "url").where("n = items").groupBy("url").agg(F.count("*").alias("k"), F.min("q").alias("cross")).where("k = 1").select("url", "cross")
-    proven = seg.where("owner is not null").join(alone, "url").where(F.array_contains("quotes", F.col("known"))).groupBy("rec_id", "place").agg(F.count_distinct("known").alias("k"), F.min("known").alias("q"))
-    seg = seg.join(proven, ["rec_id", "place"], "left").join(shared, "url", "left")
+    facts = owners.join(shared, "url", "full")
+    often = seg.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("url")
+    seg = seg.join(F.broadcast(often), "url", "left_anti").join(facts, "url", "left").unionByName(seg.join(F.broadcast(often.join(facts, "url", "left")), "url"))
+    proven = seg.where("owner is not null").withColumn("known", F.explode("quotes")).join(alone, ["url", "known"]).groupBy("rec_id", "place").agg(F.count_distinct("known").alias("k"), F.min("known").alias("q"))
+    seg = seg.join(proven, ["rec_id", "place"], "left")
     cross = F.when(F.array_contains("quotes", F.col("cross")), F.col("cross"))
     seg = seg.withColumn("quote", F.when(F.col("owner").isNotNull(), F.when(F.col("k") == 1, F.col("q")).when(F.col("k").isNull(), cross))).drop("k", "q", "cross", "quotes")
     quality = [F.when(F.length("quote") >= 50, 0).when(F.col("quote").isNotNull(), 1).otherwise(2), F.asc("place"), F.asc("rec_id")]
@@ -39,7 +46,8 @@ def reattributed(recs: DataFrame, owners: DataFrame) -> DataFrame:
     keeps = seg.where("own and rank = 1").select(F.col("rec_id").alias("target"), F.lit(True).alias("keeps"))
     clean = (~joined & (F.size(urls.split_urls(F.col("source_url"))) == 1)).alias("clean")
     target = recs.groupBy("item", F.col("person").alias("owner")).agg(F.min("rec_id").alias("target"), F.max(clean).alias("clean"))
-    seg = seg.join(target, ["item", "owner"], "left").join(keeps, "target", "left")
+    # most segments have no target: looked up by it they would all meet in one task
+    seg = seg.join(target.join(keeps, "target", "left"), ["item", "owner"], "left")
     action = (
         F.when(F.col("owner").isNull(), "DROP").when(F.col("own") & (F.col("rank") == 1), "KEEP_OWN").when(F.col("rank") > 1, "DUPLICATE")
         .when(F.col("target").isNull(), "CREATE_FOR_OTHER").when(F.coalesce("keeps", F.lit(False)) | F.coalesce("clean", F.lit(False)), "DUPLICATE").otherwise("MOVE_TO_EXISTING")

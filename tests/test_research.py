@@ -28,6 +28,17 @@ def test_quote_common_to_all(spark):
     assert {(r.rec_id, r.url): r.quote for r in research.reattributed(recs, owners).where("owner = 'a'").collect()} == {(1, "u"): "same", (2, "u"): "same"}
 
 
+def test_frequent_addresses_are_not_brought_together(spark, monkeypatch):
+    """Addresses of 40 rows each, owned and nobody's, beside one that each row has alone: the same whether they count as frequent or not."""
+    recs = spark.createDataFrame([(i, i % 9, f"p{i % 5}", f"u:p0 | u:own{i} | u:none", f"same | x{i}") for i in range(40)] + [(99, 3, "p0", "u:p0", "x7")], "rec_id int, item int, person string, source_url string, quote string")
+    owners = spark.createDataFrame([("u:p0", "p0"), *[(f"u:own{i}", f"p{i % 5}") for i in range(40)]], "url string, owner string")
+    found = []
+    for often in (research.OFTEN, 10):
+        monkeypatch.setattr(research, "OFTEN", often)
+        found.append(sorted(map(str, research.reattributed(recs, owners).collect())))
+    assert found[0] == found[1] and len(found[0]) == 120 and sum("quote='same'" in r for r in found[0]) == 39 and sum("quote='x7'" in r for r in found[0]) == 1
+
+
 def test_best_candidate(spark):
     df = spark.createDataFrame([(1, 0.9, None, " "), (1, 0.8, "x", "p"), (1, 0.5, "y", "q"), (2, 0.1, None, "z")], "k int, s double, a string, b string")
     assert {tuple(r) for r in research.best_candidate(df, "k", [F.desc("s")], "s", ["a", "b"]).collect()} == {(1, 0.9, "x", "p"), (2, 0.1, None, "z")}

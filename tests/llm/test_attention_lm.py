@@ -160,3 +160,35 @@ def test_parameters_are_averaged_by_tokens():
     v = [np.array([1.0, 2.0], np.float32), np.array([4.0, 5.0], np.float32)]
     out = al._mean(pa.table({"name": ["a", "a"], "at": [0, 0], "first": [2, 1], "n": [1, 2], "v": pa.array([x.tobytes() for x in v], pa.binary())}))
     assert np.frombuffer(out.column("v")[0].as_py(), np.float32).tolist() == [3.0, 4.0]
+
+
+def test_every_training_document_trains_the_network(spark, docs):
+    """However many tokens there are: each document here has a word of its own, and the parameters of all its ids must have moved."""
+    path = al.vocabulary_path()
+    library, _, end = al._tokenizer(path)
+    own = [w for i in range(97, 123) for j in range(97, 123) for w in [chr(i) + chr(j)] if len(library.encode_ordinary(" " + w)) == 1][:80]
+    assert len(own) == 80
+    slices = al.written(al.encoded(docs([(i, f"{w} {w}") for i, w in enumerate(own)]), al.F.lit(True), "doc_id", path))
+    model = al.fit(slices, 10**9, path)
+    seen = np.flatnonzero(model["row"][:end] < len(model["weights"]["embed"]) - 1)
+    assert len(seen) == 80
+    before = al.new_model(np.array(sorted(seen, key=library.decode_single_token_bytes)), np.ones(82), end + 1)["weights"]["embed"]
+    assert (np.abs(model["weights"]["embed"] - before)[:-1].max(axis=1) > 0).all()
+
+
+def test_a_long_share_is_trained_on_in_lists(made, monkeypatch):
+    monkeypatch.setattr(al, "TASK_TOKENS", 50)
+    row, seen = made["row"], {}
+    ids = [np.array([10 + i % 30] * (1 + i % 7) + [49], "<u2") for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(100), pa.int64()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())})
+    lists = list(al._lists(iter([batch.slice(0, 40), batch.slice(40)]), row, seen))
+    assert len(lists) > 3 and sum(map(len, lists)) == 100 and seen == {"first": 0, "n": sum(map(len, ids))}
+    assert max(sum(map(len, x)) for x in lists) < 2 * al.TASK_TOKENS + 8
+
+    def loss(w):
+        x = np.concatenate([row[i] for i in ids])
+        return al.gradients(w, made["members"], *al.blocks(x, np.array([len(i) for i in ids])))[0]
+
+    w = al.train(made["weights"], made["members"], iter(lists), sum(map(len, ids)), 0.02, 0.5, 0)
+    assert loss(w) < loss(made["weights"])
+    assert all(np.array_equal(a, b) for a, b in zip(al.train(made["weights"], made["members"], iter([]), 10, 0.02, 0.5, 0).values(), made["weights"].values(), strict=True))

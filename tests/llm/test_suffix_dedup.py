@@ -46,3 +46,15 @@ def test_odd_rows(odd, docs):
     got = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.removed(odd, digest_only=True).collect()}
     assert {g[0] for g in got} == {1, 2, 3, 4, 5, 6, 7} and (7, 15000, 15000) in got and (1, 0, 0) in got
     assert suffix_dedup.removed(docs([])).count() == 0
+
+
+def test_planted_passages_go_from_400_bytes_on(docs):
+    """Passages of over 50 words in two documents each: the contract counts bytes, so only those of 400 and more are removed, and no document without one is touched."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(n))
+    passages = [prose(n) for n in range(51, 81)]
+    texts = [f"{prose(60)}\x01{p}\x02{prose(60)}" if copy else f"{prose(60)}\x03{p}\x04{prose(60)}" for p in passages for copy in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removed(docs(list(enumerate([*texts, *(prose(150) for _ in range(60))]))), digest_only=True).collect()}
+    sizes = [len(p) for p in passages for _ in (0, 1)]
+    assert min(sizes) < 400 < max(sizes)
+    assert [got[i] for i in range(120)] == [n if n >= 400 else 0 for n in sizes] + [0] * 60

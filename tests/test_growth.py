@@ -120,3 +120,17 @@ def test_only_pairs_that_may_be_least_alike_are_compared(spark, tmp_path, copies
     monkeypatch.setattr(overlap, "shared_of", lambda pairs, *more: asked.append(pairs) or kept(pairs, *more))
     same_as_sql(spark, str(tmp_path), "unlikely_pair", ["part", "lineitem", "orders", "customer"])
     assert len(asked) <= 2 and all(p.count() for p in asked)
+
+
+def test_topics_may_be_long_lists(spark, tmp_path):
+    """A list of 3,500 items is a topic of people who have most of it, like any other."""
+    for t, key in (("lineitem", "l_partkey"), ("orders", None), ("supplier", None), ("customer", None)):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        if key:
+            long = spark.range(3_500).select((F.col("id") + 1).alias(key), F.lit(1).cast("bigint").alias("l_suppkey"))
+            one = rows.limit(1).drop(key, "l_suppkey").crossJoin(long).select(*rows.columns)
+            rows = rows.unionByName(one.select([F.col(f.name).cast(f.dataType) for f in rows.schema]))
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    (spark.read.parquet(f"{SF}/supplier.parquet").withColumn("s_acctbal", F.lit(1.0))).write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+    same_as_sql(spark, str(tmp_path), "person_topics", ["lineitem", "orders", "supplier", "customer"])
+    assert QUERIES["person_topics"](spark, str(tmp_path)).agg(F.max("items")).first()[0] >= 3_500

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.match import jaccard
-from tessera.operators.resolve import checkpointed
+from tessera.operators.resolve import stored, together
 
 
 def _ordered(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -64,37 +65,63 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalised(c), " "), lambda w: w != ""))
 
 
+#: Rows of which a task matches the people, and rows of both sides that are matched in one go, about.
+TASK_ROWS, GO_ROWS = 100_000, 20_000_000
+
+
 def matched(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """cid, match, status, score: which book of the same person a candidate names; the first tier with any hit decides, several hits are ambiguous and end the search.
 
     wanted: cid, person, title, author; held: person, item, title, author. Tiers: title and author as written, both normalised,
     normalised title and surname, titles alike by LIKE with a word of the author's name. The last two need a title of more than
-    GENERIC_WORDS words. Scores: 1, 0.97, 0.9, the likeness."""
-    def keyed(df: DataFrame, id_: str) -> DataFrame:
-        lower = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-        last = F.coalesce(F.try_element_at(F.split(normalised(F.col("author")), " "), F.lit(-1)), F.lit(""))
-        return df.select(F.col(id_).alias("id"), "person", F.concat_ws("\x1f", lower("title"), lower("author")).alias("exact"), normalised(F.col("title")).alias("t"), normalised(F.col("author")).alias("a"), last.alias("last"), words(F.col("title")).alias("tokens"), words(F.col("author")).alias("names"), (lower("title") != "").alias("named"))
-
-    w, h = checkpointed(keyed(wanted, "cid")), checkpointed(keyed(held, "item"))
-    long = F.size(F.split("t", " ")) > GENERIC_WORDS
-    tiers = [
-        ("exact_title_author", 1.0, w.where("named").select("id", "person", F.col("exact").alias("k")), h.select("id", "person", F.col("exact").alias("k"))),
-        ("normalized_title_author", 0.97, w.where("named").select("id", "person", F.concat_ws("\x1f", "t", "a").alias("k")), h.select("id", "person", F.concat_ws("\x1f", "t", "a").alias("k"))),
-        ("title_author_surname", 0.9, w.where(long & (F.col("last") != "")).select("id", "person", F.concat_ws("\x1f", "t", "last").alias("k")), h.select("id", "person", F.concat_ws("\x1f", "t", "last").alias("k"))),
-    ]
-    hits = None
-    for place, (name, score, a, b) in enumerate(tiers):
-        found = a.join(b.withColumnRenamed("id", "item"), ["person", "k"]).select("id", "item", F.lit(place).alias("tier"), F.lit(name).alias("status"), F.lit(score).alias("score"))
-        hits = found if hits is None else hits.unionByName(found)
-    # items are held by several people: a held row's own id keeps the sides' ids unique
-    own = h.withColumn("id", F.struct("person", "id"))
-    alike = set_join(w.where(long).select("id", "person", "tokens"), own.select("id", "person", "tokens"), LIKE, ["person"])
-    names = w.select(F.col("id").alias("lid"), F.col("names").alias("ln")), own.select(F.col("id").alias("rid"), F.col("names").alias("rn"))
-    alike = alike.join(names[0], "lid").join(names[1], "rid").where(F.arrays_overlap("ln", "rn"))
-    hits = hits.unionByName(alike.select(F.col("lid").alias("id"), F.col("rid.id").alias("item"), F.lit(len(tiers)).alias("tier"), F.lit("fuzzy").alias("status"), "score"))
-    per = hits.groupBy("id", "tier").agg(F.count("*").alias("n"), F.min("item").alias("item"), F.first("status").alias("status"), F.max("score").alias("score"))
-    best = per.groupBy("id").agg(F.min_by(F.struct("n", "item", "status", "score"), "tier").alias("x")).select("id", "x.*")
-    out = w.select("id", "named").join(best, "id", "left")
-    one = F.col("n") == 1
-    status = F.when(F.col("n").isNull(), "unmatched").when(one, F.col("status")).otherwise("ambiguous")
-    return out.select(F.col("id").alias("cid"), F.when(one, F.col("item")).alias("match"), status.alias("status"), F.when(one, F.col("score")).otherwise(0.0).alias("score"))
+    GENERIC_WORDS words. Scores: 1, 0.97, 0.9, the likeness.
+
+    Rows travel once, as written, to their person's task; keys are made and compared there. Beyond GO_ROWS rows the people are
+    matched in several goes, whose results are stored: what a go shuffles is deleted before the next."""
+    rows = wanted.select(F.lit(0).alias("side"), F.col("cid").alias("id"), "person", "title", "author").unionByName(held.select(F.lit(1).alias("side"), F.col("item").alias("id"), "person", "title", "author"))
+    n = rows.count()
+    goes = max(1, math.ceil(n / GO_ROWS))
+    tasks = max(1, math.ceil(n / goes / TASK_ROWS))
+    if goes == 1:
+        return _in_place(rows.repartition(tasks, "person"))
+    return together([stored(_in_place(rows.where(F.pmod(F.xxhash64("person"), F.lit(goes)) == go).repartition(tasks, "person"))) for go in range(goes)])
+
+
+def _in_place(rows: DataFrame) -> DataFrame:
+    """matched() of rows (side: 0 for wanted, 1 for held; id, person, title, author) that are dealt by person: nothing here moves a row to another task."""
+    lower = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("row", "side", "id", "person", lower("title").alias("lt"), lower("author").alias("la"), normalised(F.col("title")).alias("t"), normalised(F.col("author")).alias("a"))
+    rows = rows.withColumn("last", F.coalesce(F.try_element_at(F.split("a", " "), F.lit(-1)), F.lit("")))
+    named, long = F.col("lt") != "", F.size(F.split("t", " ")) > GENERIC_WORDS
+    tiers = [("exact_title_author", 1.0, ["lt", "la"], named), ("normalized_title_author", 0.97, ["t", "a"], named), ("title_author_surname", 0.9, ["t", "last"], long & (F.col("last") != ""))]
+    result = F.lit(None).cast(f"struct<n: bigint, item: {rows.schema['id'].dataType.simpleString()}, status: string, score: double>")
+    for place, (_, _, keys, _) in enumerate(tiers):
+        same = Window.partitionBy("person", *keys)
+        rows = rows.withColumn(f"n{place}", F.sum("side").over(same)).withColumn(f"item{place}", F.min(F.when(F.col("side") == 1, F.col("id"))).over(same))
+    for place, (name, score, _, asks) in reversed(list(enumerate(tiers))):
+        hit = F.struct(F.col(f"n{place}").alias("n"), F.col(f"item{place}").alias("item"), F.lit(name).alias("status"), F.lit(score).alias("score"))
+        result = F.when(asks & F.col("person").isNotNull() & (F.col(f"n{place}") > 0), hit).otherwise(result)
+    rows = rows.select("row", "side", "id", "person", F.when(F.col("side") == 0, result).alias("result"), words(F.col("t")).alias("tokens"), words(F.col("a")).alias("names"), long.alias("long"))
+    # of a set of n words two alike ones share one of the first few, in any order that is the same for all: long words are the rarer ones
+    first = F.transform(F.array_sort(F.transform("tokens", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    first = F.when(F.size("tokens") > 0, F.slice(first, F.lit(1), _prefix(F.size("tokens"), LIKE)))
+    open_ = (F.col("side") == 1) | (F.col("result").isNull() & F.col("long"))
+    rows = rows.withColumn("w", F.explode(F.when(open_ & F.col("person").isNotNull(), first).when(F.col("side") == 0, F.array(F.lit(None).cast("string")))))
+    one = F.struct("row", "id", "result", "tokens", "names")
+    met = rows.groupBy("person", "w").agg(F.collect_list(F.when(F.col("side") == 0, one)).alias("l"), F.collect_list(F.when(F.col("side") == 1, F.struct("id", "tokens", "names"))).alias("r"))
+    met = met.where(F.size("l") > 0).select("person", F.explode("l").alias("l"), "r")
+    nl = F.size("l.tokens")
+
+    def alike(x: Column) -> Column:
+        nr = F.size(x["tokens"])
+        fits = (nr >= F.lit(LIKE) * nl - 1e-9) & (nl >= F.lit(LIKE) * nr - 1e-9)
+        return fits & F.arrays_overlap(F.col("l.names"), x["names"]) & (jaccard(F.col("l.tokens"), x["tokens"]) >= LIKE - math.ulp(LIKE))
+
+    fuzzy = F.transform(F.filter("r", alike), lambda x: F.struct(x["id"].alias("item"), jaccard(F.col("l.tokens"), x["tokens"]).alias("score")))
+    met = met.select("person", F.col("l.row").alias("row"), F.col("l.id").alias("id"), F.col("l.result").alias("result"), F.when(F.size("l.tokens") > 0, fuzzy).alias("fuzzy"))
+    per = met.groupBy("person", "row").agg(F.first("id").alias("id"), F.first("result").alias("x"), F.array_distinct(F.flatten(F.collect_list("fuzzy"))).alias("fuzzy"))
+    n = F.coalesce(F.col("x.n"), F.size("fuzzy").cast("bigint"))
+    found = F.get("fuzzy", F.lit(0))
+    status = F.when(n == 0, "unmatched").when(n > 1, "ambiguous").otherwise(F.coalesce("x.status", F.lit("fuzzy")))
+    return per.select(F.col("id").alias("cid"), F.when(n == 1, F.coalesce("x.item", found["item"])).alias("match"), status.alias("status"), F.when(n == 1, F.coalesce("x.score", found["score"])).otherwise(0.0).alias("score"))

@@ -9,6 +9,7 @@ from tessera.functions import hygiene as hy
 from tessera.functions.text import fold_accents
 from tessera.operators import cards, rules, similarity
 from tessera.operators.relational import spread
+from tessera.operators.resolve import stored
 from tessera.plans.registry import query
 from tessera.sources.mapping import Catalogue, over, pick
 
@@ -177,6 +178,6 @@ SELECT w.id AS cid, CASE WHEN n = 1 THEN item END AS match, CASE WHEN n IS NULL
 @query(over("shelves editions", _matched_sql()))
 def scoped_matches(c: Catalogue) -> DataFrame:
     """Which book of the same person's shelf a found title and name mean: four tiers, and refusal where several fit."""
-    held = c.shelves.join(c.editions.select(F.col("id").alias("item"), "title", "author"), "item").select("person", "item", "title", "author")
+    held = stored(c.shelves.join(c.edition_texts.select(F.col("id").alias("item"), "title", "author"), "item").select("person", "item", "title", "author"))
     want = c.spark.sql(_WANT.replace("FROM held", "FROM {held}"), held=held)
     return similarity.matched(want, held)

@@ -134,3 +134,32 @@ def test_topics_may_be_long_lists(spark, tmp_path):
     (spark.read.parquet(f"{SF}/supplier.parquet").withColumn("s_acctbal", F.lit(1.0))).write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
     same_as_sql(spark, str(tmp_path), "person_topics", ["lineitem", "orders", "supplier", "customer"])
     assert QUERIES["person_topics"](spark, str(tmp_path)).agg(F.max("items")).first()[0] >= 3_500
+
+
+@pytest.mark.parametrize("goes", [1, 3])
+def test_books_of_people_are_matched_where_the_people_are(spark, goes, monkeypatch):
+    """Rows travel once, by person; with more rows, people are matched in goes."""
+    from tessera.operators import similarity
+
+    monkeypatch.setattr(similarity, "GO_ROWS", 10**9 if goes == 1 else 4_000)
+    got = QUERIES["scoped_matches"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == (1 if goes == 1 else 0) and (goes == 1 or len(got.inputFiles()) >= goes)
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert sorted(map(str, map(tuple, got.select("cid", "match", "status", "score").collect()))) == sorted(map(str, con.execute(f"SELECT cid, match, status, score FROM ({ORACLES['scoped_matches']})").fetchall()))
+
+
+def test_what_a_stored_table_shuffled_is_deleted(spark):
+    import glob
+
+    from tessera.operators.resolve import stored, together
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, rows = files(), spark.range(100_000).repartition(7, "id")
+    rows.write.format("noop").mode("overwrite").save()
+    left, before = files() - before, files()
+    parts = [stored(rows.where(f"id % 2 = {i}")) for i in range(2)]
+    assert left and files() <= before and together(parts).count() == 100_000

@@ -192,3 +192,21 @@ def test_a_long_share_is_trained_on_in_lists(made, monkeypatch):
     w = al.train(made["weights"], made["members"], iter(lists), sum(map(len, ids)), 0.02, 0.5, 0)
     assert loss(w) < loss(made["weights"])
     assert all(np.array_equal(a, b) for a, b in zip(al.train(made["weights"], made["members"], iter([]), 10, 0.02, 0.5, 0).values(), made["weights"].values(), strict=True))
+
+
+def test_memory_follows_neither_batches_nor_files(spark, monkeypatch):
+    """Rows reach Python in small batches and lie in small files, and slices are filled across batches all the same."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"word{i % 5} other words {i}") for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    key, records = al._BATCH, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(records, "7")
+    try:
+        rows = al.encoded(docs, F.col("doc_id") % 2 == 0, "doc_id", al.vocabulary_path()).collect()
+    finally:
+        spark.conf.unset(records)
+    assert len(rows) == 1 and rows[0].docs == list(range(60)) and rows[0].learn == [i % 2 == 0 for i in range(60)] and 2 * sum(rows[0].per) == len(rows[0].ids)
+    seen, before = [], spark.conf.get(key)
+    monkeypatch.setattr(al, "written", lambda df, kept=al.written, **options: seen.append((spark.conf.get(key), options)) or kept(df, **options))
+    al.scored(docs, F.lit(False))
+    assert [a for a, _ in seen] == [str(al.BATCH)] * 2 and seen[0][1] == {"maxRecordsPerFile": str(al.FILE_SLICES)} and spark.conf.get(key) == before
